@@ -34,10 +34,11 @@ BUCKETS = 1 << 18
 STEP = 1024
 
 
-def bags(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds bag, the sorted hashes of the text's words, and its 96-bit key (k1, k2); texts without a word go."""
+def bags(texts: DataFrame, text: str = "text", keep_empty: bool = False) -> DataFrame:
+    """Adds bag, the sorted hashes of the text's words, and its 96-bit key (k1, k2); texts without a word go unless kept."""
     bag = F.array_sort(F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w)))
-    return texts.withColumn("bag", bag).where(F.size("bag") > 0).withColumns({"k1": F.xxhash64("bag"), "k2": F.hash("bag")})
+    out = texts.withColumn("bag", bag)
+    return (out if keep_empty else out.where(F.size("bag") > 0)).withColumns({"k1": F.xxhash64("bag"), "k2": F.hash("bag")})
 
 
 def _mix(word: np.ndarray, need: np.ndarray) -> np.ndarray:

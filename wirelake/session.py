@@ -6,15 +6,16 @@ lost executor costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
-_SHIPPED: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+_SHIPPED: set[str] = set()
 
 
 def get_session(app: str = "wirelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,8 +35,19 @@ def get_session(app: str = "wirelake", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, so that they find it whatever their path is."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        if os.path.isdir(os.path.join(root, "wirelake")):
+            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "wirelake"), "zip", root, "wirelake"))
+        _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; zone-less timestamps are read as UTC instants."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df

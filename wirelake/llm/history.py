@@ -12,6 +12,7 @@ key holds different texts only, since equal word bags are folded, and is joined
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelake.llm.lookalike import plain
-from wirelake.llm.neardup import BUCKETS, _steps, _words, bags, estimates, missing_bound, shared_words
+from wirelake.llm.neardup import BUCKETS, _steps, _words, bags, missing_bound, shared_words
 from wirelake.session import new_path, stage, table
 
 #: Key ranges of a store: 64-bit hash keys, cut evenly.
@@ -54,7 +55,7 @@ def _array(got: pd.DataFrame) -> np.ndarray:
 
 
 def sort_keys(bagged: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(rng, key, k1, k2, start, bag): each bag under its sort keys.
+    """(rng, key, k1, k2, n, start): each bag under its sort keys, without its words.
 
     Keys are the rarest words in the frozen order, taken until they hold more words than a near text can lack. Of two near
     texts the first shared word in that order is then a key of both.
@@ -70,10 +71,11 @@ def sort_keys(bagged: DataFrame, counts: np.ndarray) -> DataFrame:
             before -= before[np.searchsorted(rec, np.arange(len(n)))][rec]
             keep = before <= missing_bound(n)[rec]
             at = pa.array(rec[keep])
-            out = [b.column(c).take(at) for c in ("k1", "k2", "start", "bag")]
-            yield pa.RecordBatch.from_arrays([pa.array(word[keep]), *out], names=["key", "k1", "k2", "start", "bag"])
+            size = pa.array(n[rec[keep]].astype(np.int32))
+            out = [b.column(c).take(at) for c in ("k1", "k2", "start")]
+            yield pa.RecordBatch.from_arrays([pa.array(word[keep]), *out, size], names=["key", "k1", "k2", "start", "n"])
 
-    got = bagged.select("k1", "k2", "start", "bag").mapInArrow(sign, "key long, k1 long, k2 int, start double, bag array<long>")
+    got = bagged.select("k1", "k2", "start", "bag").mapInArrow(sign, "key long, k1 long, k2 int, start double, n int")
     return got.select(key_range(F.col("key")).alias("rng"), "*")
 
 
@@ -104,6 +106,12 @@ def _ascii(col: Column) -> Column:
     return out
 
 
+def _short(col: str, name: str) -> list[Column]:
+    """A text as a 96-bit key in two columns; null stays null."""
+    c = F.col(col)
+    return [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"{name}1"), F.when(c.isNotNull(), F.hash(c)).alias(f"{name}2")]
+
+
 class History:
     """What earlier valid runs brought, as runs sorted by key in fixed key ranges under one folder of the shared file system.
 
@@ -128,7 +136,10 @@ class History:
         return self
 
     def _read(self, kind: str) -> DataFrame | None:
-        return self.spark.read.option("basePath", self.path).parquet(*[f"{r}/{kind}" for r in self.runs]) if self.runs else None
+        if not self.runs:
+            return None
+        one = [self.spark.read.option("basePath", r).parquet(f"{r}/{kind}") for r in self.runs]  # at most MAX_RUNS
+        return functools.reduce(DataFrame.unionByName, one)
 
     def _commit(self, run: str, fresh: bool) -> None:
         self.runs = [run] if fresh else [*self.runs, run]
@@ -143,65 +154,62 @@ class History:
         its key. Rows without a start are never repeats. Nulls in hash, title or report_key just don't match; ids may repeat.
         Batches must come with rising starts to see each other; within a batch the order of starts counts.
         """
-        rows = stage(bags(batch.where("start is not null").withColumn("title", F.coalesce("title", F.lit(""))), "title", keep_empty=True), "batch")
-        texts = rows.where(F.size("bag") > 0)
-        mine = texts.groupBy("k1", "k2").agg(
-            F.any_value("bag").alias("bag"), F.min(F.when(F.col("valid"), F.col("start"))).alias("start"), F.max("start").alias("last")
+        batch = batch.where("start is not null").withColumn("title", F.coalesce("title", F.lit("")))
+        slim = bags(batch, "title", keep_empty=True).select(
+            "id", "start", "valid", *_short("hash", "h"), *([] if reports is None else _short("report_key", "r")), "k1", "k2", "bag"
         )
-        old_bags, old_hashes = self._read("bags"), self._read("hashes")
-        if old_bags is not None:
-            known = old_bags.groupBy("k1", "k2").agg(F.min("start").alias("known"))
-            mine = mine.join(known, ["k1", "k2"], "left")
-        else:
-            mine = mine.withColumn("known", F.lit(None).cast("double"))
-        mine = stage(mine, "batch_bags")
+        rows = stage(slim, "batch")
+        old_bags, old_hashes, old_keys = self._read("bags"), self._read("hashes"), self._read("keys")
+        run = f"{self.path}/run-{self._generation:06d}"
+        texts = rows.where(F.size("bag") > 0).groupBy("k1", "k2")
+        texts.agg(F.any_value("bag").alias("bag"), F.min(F.when(F.col("valid"), F.col("start"))).alias("start")).write.parquet(f"{run}/bags")
+        mine = self.spark.read.parquet(f"{run}/bags")
         first = self.counts is None
         if first:
             self.counts = word_counts(mine)
-        earliest = F.least("known", "start")  # of the two that are not null
-        # sorted run of the batch: every bag, with the first valid start if any
-        run_keys = stage(sort_keys(mine.select("k1", "k2", F.coalesce("start", F.lit(float("inf"))).alias("start"), "bag"), self.counts), "run_keys")
-        stored = self._read("keys")
-        around = run_keys.where(F.col("start") < float("inf")).select("rng", "key", F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("start").alias("o_start"), F.col("bag").alias("o_bag"))
-        if stored is not None:
-            hit = run_keys.select("rng").distinct()  # ranges no key of the batch falls into are not read
-            wanted = [r.rng for r in hit.collect()]  # at most RANGES
-            around = around.unionByName(
-                stored.where(F.col("rng").isin(wanted)).select("rng", "key", F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("start").alias("o_start"), F.col("bag").alias("o_bag"))
-            )
-        ends = mine.select("k1", "k2", "last")
-        new = run_keys.select("rng", "key", "k1", "k2", "bag")
-        big = F.greatest(F.size("bag"), F.size("o_bag"))
+        self._write_keys(sort_keys(mine, self.counts), run)
+        new = self.spark.read.option("basePath", run).parquet(f"{run}/keys")
+        around = new.where("start is not null")
+        if old_keys is not None:
+            wanted = [r.rng for r in new.select("rng").distinct().collect()]  # at most RANGES; the other ranges are not read
+            around = around.unionByName(old_keys.where(F.col("rng").isin(wanted) & F.col("start").isNotNull()).select(*around.columns))
+        around = around.select("rng", "key", F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("start").alias("near"), F.col("n").alias("o_n"))
+        # neighbours matter only if they are earlier than the text itself
         window = new.join(around, ["rng", "key"]).where(
-            ((F.col("k1") != F.col("o1")) | (F.col("k2") != F.col("o2"))) & (F.least(F.size("bag"), F.size("o_bag")) * 100 >= big * 80)
+            ((F.col("k1") != F.col("o1")) | (F.col("k2") != F.col("o2")))
+            & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * 80)
+            & (F.col("start").isNull() | (F.col("near") < F.col("start")))
         )
-        near = window.where(shared_words(F.col("bag"), F.col("o_bag")) * 100 >= big * 80).groupBy("k1", "k2").agg(F.min("o_start").alias("near"))
-        seen = mine.select("k1", "k2", earliest.alias("own")).join(near, ["k1", "k2"], "left").select("k1", "k2", F.least("own", "near").alias("text_seen"))
-        hashes = rows.where("valid and hash is not null").groupBy("hash").agg(F.min("start").alias("start"))
-        all_hashes = hashes if old_hashes is None else hashes.unionByName(old_hashes.select("hash", "start")).groupBy("hash").agg(F.min("start").alias("start"))
-        out = rows.select("id", "start", "hash", "report_key", "k1", "k2").join(seen, ["k1", "k2"], "left")
-        out = out.join(all_hashes.withColumnRenamed("start", "hash_seen"), "hash", "left")
+        pairs = window.groupBy("k1", "k2", "o1", "o2").agg(F.min("near").alias("near"))
+        every = mine.select("k1", "k2", "bag") if old_bags is None else mine.select("k1", "k2", "bag").unionByName(old_bags.select("k1", "k2", "bag"))
+        both = pairs.join(mine.select("k1", "k2", "bag"), ["k1", "k2"]).join(every.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("bag").alias("o_bag")), ["o1", "o2"])
+        near = both.where(shared_words(F.col("bag"), F.col("o_bag")) * 100 >= F.greatest(F.size("bag"), F.size("o_bag")) * 80)
+        firsts = near.select("k1", "k2", F.col("near").alias("seen")).unionByName(mine.select("k1", "k2", F.col("start").alias("seen")))
+        if old_bags is not None:
+            firsts = firsts.unionByName(old_bags.select("k1", "k2", F.col("start").alias("seen")))
+        seen = firsts.where("seen is not null").groupBy("k1", "k2").agg(F.min("seen").alias("text_seen"))
+        hashes = rows.where("valid and h1 is not null").groupBy("h1", "h2").agg(F.min("start").alias("start"))
+        hashes.write.parquet(f"{run}/hashes")
+        hashes = self.spark.read.parquet(f"{run}/hashes")
+        if old_hashes is not None:
+            hashes = hashes.unionByName(old_hashes.select(*hashes.columns)).groupBy("h1", "h2").agg(F.min("start").alias("start"))
+        out = rows.drop("bag", "valid").join(seen, ["k1", "k2"], "left").drop("k1", "k2")
+        out = out.join(hashes.withColumnRenamed("start", "hash_seen"), ["h1", "h2"], "left").drop("h1", "h2")
         before = F.least("text_seen", "hash_seen")
         if reports is not None:
-            listed = reports.where("report_key is not null").groupBy("report_key").agg(F.min("seen").alias("report_seen"))
-            out = out.join(listed, "report_key", "left")
+            listed = reports.where("report_key is not null").select(*_short("report_key", "r"), "seen").groupBy("r1", "r2").agg(F.min("seen").alias("report_seen"))
+            out = out.join(listed, ["r1", "r2"], "left")
             before = F.least(before, F.col("report_seen"))
         found = stage(out.where(before < F.col("start")).select("id"), "found")
-        self._append(run_keys, mine, hashes, first)
+        self._write_counts(run)
+        self._commit(run, fresh=first)
         if len(self.runs) > MAX_RUNS:
             self.compact()
         return found
 
-    def _append(self, run_keys: DataFrame, mine: DataFrame, hashes: DataFrame, first: bool) -> None:
-        run = f"{self.path}/run-{self._generation:06d}"
-        self._write_keys(run_keys.where(F.col("start") < float("inf")), run)
-        mine.where("start is not null").select("k1", "k2", "start", "bag").write.parquet(f"{run}/bags")
-        hashes.write.parquet(f"{run}/hashes")
-        self._write_counts(run)
-        self._commit(run, fresh=first)
-
     def _write_keys(self, keys: DataFrame, run: str) -> None:
-        keys.repartition(RANGES, "rng").sortWithinPartitions("rng", "key").write.partitionBy("rng").parquet(f"{run}/keys")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // RANGES + 1  # files of a range
+        keys.repartition(F.col("rng"), F.pmod("key", F.lit(parts))).sortWithinPartitions("rng", "key").write.partitionBy("rng").parquet(f"{run}/keys")
 
     def _write_counts(self, run: str) -> None:
         at = np.flatnonzero(self.counts)
@@ -209,7 +217,7 @@ class History:
 
     def compact(self) -> None:
         """Merge all runs into one: one row for each bag and hash, keys by renewed counts."""
-        one = stage(self._read("bags").groupBy("k1", "k2").agg(F.any_value("bag").alias("bag"), F.min("start").alias("start")), "all_bags")
+        one = stage(self._read("bags").where("start is not null").groupBy("k1", "k2").agg(F.any_value("bag").alias("bag"), F.min("start").alias("start")), "all_bags")
         hashes = self._read("hashes").groupBy("hash").agg(F.min("start").alias("start"))
         self.counts = word_counts(one)
         run = f"{self.path}/run-{self._generation:06d}"

@@ -64,42 +64,24 @@ MAPPING = _mapping()
 _STABLE = "\\t\\n\\r -~\u00a1-\u00ac\u00ae-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c2\u2012-\u2027\u2030-\u205e\u20a0-\u20bf\u4e00-\u9fff"
 
 
-def _unstable() -> str:
-    """The unstable characters as the ranges of a character class: mapped ones, and those that composition may change."""
-    cps = set(MAPPING)
-    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1F000), *range(0x2F800, 0x2FA20)]:
-        c = chr(cp)
-        if unicodedata.category(c)[0] == "M" or not unicodedata.is_normalized("NFC", c) or 0x1100 <= cp < 0x1200:
-            cps.add(cp)
-    parts: list[list[int]] = []
-    for cp in sorted(cps):
-        if parts and parts[-1][1] == cp - 1:
-            parts[-1][1] = cp
-        else:
-            parts.append([cp, cp])
-    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in parts)
-
-
-#: The quick check as a Java regular expression: it finds every text with an unstable character, and a few more.
+#: The quick check as a regular expression of Java and Python: it finds every unstable character, and a few more.
 QUICK_CHECK = f"[^{_STABLE}]"
-_CLASS = _unstable()
-_SEGMENT = re.compile(f"[^{_CLASS}]?[{_CLASS}]+", re.S)
-
-
-def _settle(m: re.Match) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", m[0]).translate(MAPPING))
+_SEGMENT = re.compile(f"[^{_STABLE}]+")
 
 
 def canonical_text(text: str) -> str:
     """The consistent form of one text; applying it twice changes nothing more."""
-    return _SEGMENT.sub(_settle, text)
+    out, last = [], 0
+    for m in _SEGMENT.finditer(text):
+        start = max(m.start() - 1, last)  # the character that a mark may combine with
+        out += text[last:start], unicodedata.normalize("NFC", unicodedata.normalize("NFC", text[start : m.end()]).translate(MAPPING))
+        last = m.end()
+    return "".join(out) + text[last:] if out else text
 
 
 def plain_text(text: str) -> str:
     """Character references resolved, then the consistent form."""
-    if "&" in text:
-        text = html.unescape(text)
-    return _SEGMENT.sub(_settle, text)
+    return canonical_text(html.unescape(text) if "&" in text else text)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,0 +1,176 @@
+"""Cleaning, ledger, folding, scores and selection over raw_items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wirelake.functions import text as X
+from wirelake.operators import clean as C
+from wirelake.session import table
+
+
+def _list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+SQL_KEY = "regexp_replace(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+SQL_TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) >= 3 and not regexp_matches(t, '^[0-9]+$') and t not in ({_list(X.STOPWORDS)})))"
+_SQL_REASON = f"""case
+  when source = 'reddit' and (coalesce(raw_score, 0) < 20 or coalesce(comment_count, 0) < 5) then 'reddit_low_engagement'
+  when source = 'hackernews' and coalesce(raw_score, 0) < 10 then 'hn_low_points'
+  when source = 'github' and coalesce(raw_score, 0) < 20 then 'github_low_stars'
+  when source in ({_list(C.TAG_SOURCES)}) and regexp_replace(lower(title), '^#+| ', '', 'g') in ({_list(X.GENERIC_HASHTAGS)}) then 'generic_hashtag'
+  when length(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) < 4 or regexp_matches(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'), '^[0-9]+$') then 'too_short_or_non_ascii'
+  when regexp_matches(title, '{X.ROUNDUP}') then 'roundup'
+  when regexp_matches(title, '{X.BOX_SCORE}') then 'box_score_or_betting'
+  when regexp_matches(title, '{X.PROMOTION}') then 'promotional' end"""
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_items")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).withColumn("reason", C.discard_reason(F.col("source"), F.col("title"), F.col("raw_score"), F.col("comment_count")))
+
+
+def clean_ledger(spark, sf_dir):
+    """Discards by reason and source, with what is kept: the counts add up to all items."""
+    return judged(spark, sf_dir).groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("items"), F.sum(F.coalesce("duplicate_count", F.lit(1))).cast("bigint").alias("weight"))
+
+
+def ledger_balance(spark, sf_dir):
+    """For each run: ingested = discarded + folded + kept, in raw items."""
+    kept = judged(spark, sf_dir).withColumn("key", X.dedupe_key(F.col("title")))
+    by = kept.groupBy("run_id").agg(
+        F.count("*").alias("ingested"), F.count("reason").alias("discarded"), F.count_distinct(F.when(F.col("reason").isNull(), F.col("key"))).alias("clustered")
+    )
+    return by.withColumn("folded", F.col("ingested") - F.col("discarded") - F.col("clustered"))
+
+
+def dedupe_exact_fold(spark, sf_dir):
+    return C.fold_exact(raw(spark, sf_dir).withColumn("key", X.dedupe_key(F.col("title"))), "key", "id", "raw_score")
+
+
+def kept_flags(spark, sf_dir):
+    """The first raw row of every content hash that survives is flagged."""
+    live = judged(spark, sf_dir).where("reason is null and content_hash is not null").groupBy("run_id", F.lower("content_hash").alias("hash")).agg(F.min("id").alias("first_id"))
+    rows = raw(spark, sf_dir).select("id", "run_id", F.lower("content_hash").alias("hash"))
+    return rows.join(live, ["run_id", "hash"], "left").select("id", F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)).alias("survives"))
+
+
+def source_percentile(spark, sf_dir):
+    return C.mid_rank(raw(spark, sf_dir).select("id", "source", "raw_score"), "source", "raw_score").select("id", F.round("pct", 6).alias("pct"))
+
+
+def heuristic_scores(spark, sf_dir):
+    items = C.mid_rank(raw(spark, sf_dir).select("id", "source", "title", "raw_score", "comment_count"), "source", "raw_score")
+    scored = C.corroboration(items)
+    return scored.select("id", F.col("others").cast("bigint").alias("others"), F.round(C.heuristic_score(F.col("pct"), F.col("source"), F.col("others"), F.col("comment_count")), 4).alias("score"))
+
+
+def token_document_frequency(spark, sf_dir):
+    tok = raw(spark, sf_dir).select("source", F.explode(X.significant_tokens(F.col("title"))).alias("token"))
+    return tok.groupBy("token").agg(F.count("*").alias("df"), F.count_distinct("source").alias("sources"))
+
+
+def fair_floor_selection(spark, sf_dir):
+    items = raw(spark, sf_dir).where("heuristic_score is not null").select("id", "run_id", F.coalesce("feed", "source").alias("grp"), "heuristic_score")
+    return C.fair_floors(items, "run_id", "grp", "heuristic_score", "id", 3, 40).select("run_id", "id", "by_floor", F.col("place").cast("bigint").alias("place"))
+
+
+def round_robin_interleave(spark, sf_dir):
+    items = raw(spark, sf_dir).where("feed is not null").select("id", "run_id", "feed")
+    return C.interleave(items, "run_id", "feed", "id", 60).select("run_id", "id", F.col("round").cast("bigint").alias("round"), F.col("turn").cast("bigint").alias("turn"))
+
+
+def category_vote(spark, sf_dir):
+    t = F.concat_ws(" ", "title", "description")
+    items = table(spark, sf_dir, "trend_items").select("item_no", "category_hint", X.category_of(t).alias("voted"))
+    return items.select("item_no", "voted", F.coalesce(F.col("voted") == F.col("category_hint"), F.lit(False)).alias("agrees"))
+
+
+def headline_flags(spark, sf_dir):
+    t = F.col("title")
+    caps = F.size(F.regexp_extract_all(t, F.lit(r"[A-Z][A-Za-z]+"), F.lit(0)))
+    return raw(spark, sf_dir).select(
+        "id", t.rlike(X.ROUNDUP).alias("roundup"), (F.size(X.significant_tokens(t)) < 3).alias("generic"), caps.cast("bigint").alias("capitalised"),
+        F.size(F.regexp_extract_all(t, F.lit(r"[0-9]+"), F.lit(0))).cast("bigint").alias("numbers"),
+    )
+
+
+def hashtag_words(spark, sf_dir):
+    return raw(spark, sf_dir).where(F.col("title").startswith("#")).select("id", X.split_hashtag(F.col("title")).alias("words"))
+
+
+def parsed_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "trend_items").select("item_no", F.col("metadata")["views"].alias("views"), F.col("metadata")["rank"].alias("rank"))
+    return rows.where("views is not null or rank is not null").select("item_no", X.parse_count(F.col("views")).alias("views"), X.parse_count(F.col("rank")).alias("rank"))
+
+
+def url_groups(spark, sf_dir):
+    rows = raw(spark, sf_dir).where("url is not null").select(X.canonical_url(F.col("url")).alias("page"), X.host(F.col("url")).alias("host"), "id", "url")
+    return rows.groupBy("page").agg(F.min("host").alias("host"), F.count("*").alias("items"), F.count_distinct("url").alias("variants"), F.min("id").alias("first_id"))
+
+
+def late_arrivals(spark, sf_dir):
+    """Rows captured after their run had ended by more than the allowed skew, by run."""
+    runs = table(spark, sf_dir, "runs").select("run_id", "finished_at")
+    late = raw(spark, sf_dir).select("run_id", "captured_at").join(runs, "run_id")
+    return late.groupBy("run_id").agg(F.count("*").alias("items"), F.coalesce(F.sum((F.col("captured_at") > F.col("finished_at") + 900).cast("bigint")), F.lit(0)).alias("late"))
+
+
+def entity_counts(spark, sf_dir):
+    """Capitalised phrases of a run's titles and how many titles name them: the five most named of every run."""
+    names = raw(spark, sf_dir).select("run_id", "id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))).alias("entity"))
+    n = names.groupBy("run_id", "entity").agg(F.count("*").alias("titles"), F.min("id").alias("first_id"))
+    rn = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("titles"), F.asc("first_id"), F.asc("entity")))
+    return n.withColumn("rn", rn).where("rn <= 5").select("run_id", "entity", "titles", "first_id")
+
+
+def feed_caps(spark, sf_dir):
+    """Items a feed may bring into a run: the larger of its floor and its share of the total cap."""
+    per = raw(spark, sf_dir).where("feed is not null").groupBy("run_id", "source").agg(F.count_distinct("feed").alias("feeds"), F.count("*").alias("items"))
+    return per.select("run_id", "source", "feeds", F.least(F.lit(400).cast("bigint"), F.greatest(F.lit(60).cast("bigint"), F.lit(3) * F.col("feeds"))).alias("cap"), "items")
+
+
+QUERIES = {f.__name__: f for f in (clean_ledger, ledger_balance, dedupe_exact_fold, kept_flags, source_percentile, heuristic_scores, token_document_frequency, fair_floor_selection, round_robin_interleave, category_vote, headline_flags, hashtag_words, parsed_counts, url_groups, late_arrivals, entity_counts, feed_caps)}
+
+_VOTES = {c: f"len(regexp_extract_all(lower(concat_ws(' ', title, description)), '\\b(?:{'|'.join(w)})\\b'))" for c, w in X.CATEGORY_WORDS.items()}
+_MOST = f"greatest({', '.join(_VOTES.values())})"
+_HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
+_COUNT = "try_cast(replace(regexp_extract({0}, '^\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*([KkMmBb]?)\\+?\\s*$', 1), ',', '') as double) * case upper(regexp_extract({0}, '^\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*([KkMmBb]?)\\+?\\s*$', 2)) when 'K' then 1e3 when 'M' then 1e6 when 'B' then 1e9 else 1.0 end"
+_PCT = """select id, case when n <= 1 then 0.75 else (below + 0.5 * eq) / n end pct from (
+  select id, count(*) over (partition by source) n, count(*) over (partition by source, coalesce(raw_score, 0)) eq,
+    rank() over (partition by source order by coalesce(raw_score, 0)) - 1 below from raw_items)"""
+
+SQL = {
+    "clean_ledger": f"select source, reason, count(*) items, sum(w)::bigint weight from (select source, coalesce({_SQL_REASON}, 'kept') reason, coalesce(duplicate_count, 1) w from raw_items) group by all",
+    "ledger_balance": f"select *, ingested - discarded - clustered folded from (select run_id, count(*) ingested, count(reason) discarded, count(distinct case when reason is null then k end) clustered from (select run_id, {_SQL_REASON} reason, {SQL_KEY.format('title')} k from raw_items) group by run_id)",
+    "dedupe_exact_fold": f"select key, arg_max(id, {{'s': coalesce(raw_score, -1.0), 'i': -id}}) best_id, min(id) first_id, count(*) copies, count(distinct source) sources, count(distinct url) urls from (select *, {SQL_KEY.format('title')} as key from raw_items) where key != '' group by key",
+    "kept_flags": f"with j as (select id, run_id, lower(content_hash) h, {_SQL_REASON} reason from raw_items), f as (select run_id, h, min(id) first_id from j where reason is null and h is not null group by all) select j.id, coalesce(j.id = f.first_id, false) survives from j left join f using (run_id, h)",
+    "source_percentile": f"select id, round(pct, 6) pct from ({_PCT})",
+    "heuristic_scores": f"""with p as ({_PCT}), t as (select id, source, unnest({SQL_TOKENS.format('title')}) tok from raw_items),
+  f as (select tok, list_distinct(list(source)) srcs from t group by tok having count(*) <= (select greatest(3, floor(count(*) * 0.08)) from raw_items)),
+  o as (select id, count(distinct other) n from (select t.id, t.source, unnest(srcs) other from t join f using (tok)) where other != source group by id)
+  select r.id, coalesce(o.n, 0)::bigint others, round(greatest(0.0::double, least(1.0::double, 0.20::double + 0.45::double * p.pct::double * coalesce(map_extract_value(map {{{', '.join(f"'{k}': {v}::double" for k, v in C.SOURCE_WEIGHT.items())}}}, r.source), 0.6::double)
+    + least(3, coalesce(o.n, 0)) * 0.10::double + case when coalesce(comment_count, 0) > 0 then least(0.10::double, log10(1 + comment_count) / 30) else 0.0::double end)), 4) score
+  from raw_items r join p using (id) left join o using (id)""",
+    "token_document_frequency": f"select tok token, count(*) df, count(distinct source) sources from (select source, unnest({SQL_TOKENS.format('title')}) tok from raw_items) group by tok",
+    "fair_floor_selection": """with a as (select id, run_id, coalesce(feed, source) g, heuristic_score s from raw_items where heuristic_score is not null),
+  b as (select *, row_number() over (partition by run_id, g order by s desc, id) rn, max(s) over (partition by run_id, g) top from a),
+  c as (select *, row_number() over (partition by run_id order by least(rn, 4), top desc, g, id) turn from b),
+  d as (select *, rn <= 3 and turn <= 30 by_floor from c),
+  e as (select *, row_number() over (partition by run_id order by by_floor desc, s desc, id) place from d)
+  select run_id, id, by_floor, place from e where place <= 40""",
+    "round_robin_interleave": "with a as (select id, run_id, feed, row_number() over (partition by run_id, feed order by id) round from raw_items where feed is not null), b as (select *, row_number() over (partition by run_id order by round, feed) turn from a) select run_id, id, round, turn from b where turn <= 60",
+    "category_vote": f"select item_no, voted, coalesce(voted = category_hint, false) agrees from (select item_no, category_hint, case when {_MOST} = 0 then null {' '.join(f'''when {v} = {_MOST} then '{c}' ''' for c, v in _VOTES.items())} end voted from trend_items)",
+    "headline_flags": f"select id, regexp_matches(title, '{X.ROUNDUP}') roundup, len({SQL_TOKENS.format('title')}) < 3 generic, len(regexp_extract_all(title, '[A-Z][A-Za-z]+'))::bigint capitalised, len(regexp_extract_all(title, '[0-9]+'))::bigint numbers from raw_items",
+    "hashtag_words": "select id, regexp_replace(regexp_replace(regexp_replace(title, '^#+', ''), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') words from raw_items where starts_with(title, '#')",
+    "parsed_counts": f"select item_no, {_COUNT.format('''metadata['views']''')} views, {_COUNT.format('''metadata['rank']''')} rank from trend_items where metadata['views'] is not null or metadata['rank'] is not null",
+    "url_groups": f"select page, min(host) host, count(*) items, count(distinct url) variants, min(id) first_id from (select id, url, {_HOST.format('url')} host, {_HOST.format('url')} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/+$', '') page from raw_items where url is not null) group by page",
+    "late_arrivals": "select run_id, count(*) items, coalesce(sum((captured_at > finished_at + 900)::bigint), 0)::bigint late from raw_items join runs using (run_id) group by run_id",
+    "entity_counts": "with e as (select run_id, id, unnest(list_distinct(regexp_extract_all(title, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) entity from raw_items), n as (select run_id, entity, count(*) titles, min(id) first_id from e group by all), r as (select *, row_number() over (partition by run_id order by titles desc, first_id, entity) rn from n) select run_id, entity, titles, first_id from r where rn <= 5",
+    "feed_caps": "select run_id, source, count(distinct feed) feeds, least(400, greatest(60, 3 * count(distinct feed)))::bigint cap, count(*) items from raw_items where feed is not null group by run_id, source",
+}

@@ -7,24 +7,48 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that are broadcast at a time.
 QUERY_BYTES = 32 << 20
+#: Rows of a posting list that meet at a time.
+BLOCK = 512
 
 
-def token_pairs(tokens: DataFrame, key: str, max_df: int, least: int) -> DataFrame:
-    """Pairs (a, b), a < b, that share at least ``least`` tokens of a document frequency up to ``max_df``, and how many.
+def token_pairs(rows: DataFrame, key: str, tokens: str, least: int, share: float = 0.0) -> DataFrame:
+    """Pairs (a, b), a < b, that share at least ``least`` tokens and ``share`` of the larger one's, counted over all tokens.
 
-    tokens: key, token (distinct per key), size (tokens of the key). The frequency filter comes before the join, so no posting
-    list is longer than ``max_df`` and the join grows with the tokens, not with the square of the keys.
+    rows: key (unique), tokens (distinct in a row, compared by 64-bit hashes); other columns come back with _a and _b, beside
+    shared, size_a and size_b. A row is listed under its rarest tokens, all but so few that a pair must share one more: of two rows
+    that make a pair, the rarest shared token is listed for both. No token is dropped for its frequency. A pair is made at its
+    rarest shared token only, so it comes once and no pairs are shuffled to be counted. Lists longer than ``BLOCK`` are cut into
+    blocks, and each two blocks meet on their own.
     """
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") <= max_df) & (F.col("df") > 1)).select("token")
-    rare = tokens.join(df, "token").select("token", F.col(key).alias("k"), "size")
-    left, right = rare.select("token", F.col("k").alias("a"), F.col("size").alias("size_a")), rare.select("token", F.col("k").alias("b"), F.col("size").alias("size_b"))
-    shared = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    return shared.where(F.col("shared") >= least)
+    rest = [c for c in rows.columns if c not in (key, tokens)]
+    each = rows.select(F.col(key).alias("k"), *rest, F.explode(F.transform(tokens, lambda t: F.xxhash64(t))).alias("token"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = each.join(df, "token").groupBy("k", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("toks"))
+    size = F.size("toks")
+    listed = F.slice("toks", 1, F.greatest(F.lit(0), size + 1 - F.greatest(F.lit(least), F.ceil(size * share - 1e-9).cast("int"))))
+    rare = ranked.select("k", *rest, F.transform("toks", lambda t: t["token"]).alias("toks"), F.explode(F.filter(listed, lambda t: t["df"] > 1)).alias("at"))
+    rare = rare.withColumn("blocks", F.ceil(F.col("at.df") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    rare = rare.select("k", *rest, "toks", "at.token", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # bytes say little of the pairs that a list makes
+    on = ["token", "i", "j"]
+    a, b = (
+        rare.select("token", F.col(i).alias("i"), F.col(j).alias("j"), F.col("k").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("toks", *rest)]).repartition(parts, *on)
+        for x, i, j in (("a", "own", "other"), ("b", "other", "own"))
+    )
+    both = F.filter(F.array(F.array_intersect("toks_a", "toks_b")), lambda s: (F.size(s) >= least) & (s[0] == F.col("token")))
+    met = a.hint("merge").join(b, on).where("a < b").withColumn("both", F.explode(both))
+    out = met.select("a", "b", F.size("both").cast("bigint").alias("shared"), F.size("toks_a").alias("size_a"), F.size("toks_b").alias("size_b"), *[f"{c}_{x}" for c in rest for x in "ab"])
+    return out.where(F.col("shared") >= F.greatest("size_a", "size_b") * share - 1e-9)
+
+
+def jaccard() -> Column:
+    """Of the pairs of ``token_pairs``."""
+    return F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str, col: str, k: int, floor: float) -> DataFrame:

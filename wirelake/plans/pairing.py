@@ -11,31 +11,27 @@ from wirelake.operators.graph import components
 from wirelake.plans.cleaning import SQL_KEY, SQL_TOKENS
 from wirelake.session import stage, table
 
-#: Longest posting list of the inverted index.
+#: Longest posting list of the SQL's inverted index; the queries have none.
 MAX_DF = 50
 
 
-def _title_tokens(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "cleaned_items").select("item_id", X.significant_tokens(F.col("title")).alias("toks"))
-    return t.select("item_id", F.explode("toks").alias("token"), F.size("toks").alias("size"))
+def _titles(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "cleaned_items").withColumn("toks", X.significant_tokens(F.col("title")))
 
 
 def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items about the same thing: three shared rare words and a quarter of all words."""
-    p = P.token_pairs(_title_tokens(spark, sf_dir), "item_id", MAX_DF, 3)
-    jaccard = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return p.select("a", "b", "shared", F.round(jaccard, 6).alias("jaccard")).where("jaccard >= 0.25")
+    """Items about the same thing: three shared words and a quarter of all words, whatever the words' frequency."""
+    p = P.token_pairs(_titles(spark, sf_dir).select("item_id", "toks"), "item_id", "toks", 3, 0.24999)
+    return p.select("a", "b", "shared", F.round(P.jaccard(), 6).alias("jaccard")).where("jaccard >= 0.25")
 
 
 def pair_decisions(spark, sf_dir):
     """Accept, neutral or reject for every lexical pair: far apart in time or of opposite sources is a conflict."""
-    items = table(spark, sf_dir, "cleaned_items").select("item_id", F.unix_timestamp("item_time").alias("t"), "inferred_category")
-    p = P.token_pairs(_title_tokens(spark, sf_dir), "item_id", MAX_DF, 2)
-    a, b = (items.select(F.col("item_id").alias(x), F.col("t").alias(f"t_{x}"), F.col("inferred_category").alias(f"c_{x}")) for x in "ab")
-    j = p.join(a, "a").join(b, "b").withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
-    far = F.abs(F.col("t_a") - F.col("t_b")) > 72 * 3600
+    items = _titles(spark, sf_dir).select("item_id", "toks", F.unix_timestamp("item_time").alias("time"), F.col("inferred_category").alias("category"))
+    j = P.token_pairs(items, "item_id", "toks", 2).withColumn("jaccard", P.jaccard())
+    far = F.abs(F.col("time_a") - F.col("time_b")) > 72 * 3600
     verdict = F.when(far, "reject").when((F.col("jaccard") >= 0.25) & (F.col("shared") >= 3), "accept").otherwise("neutral")
-    return j.select("a", "b", verdict.alias("verdict"), F.round("jaccard", 6).alias("jaccard"), F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)).alias("same_category"))
+    return j.select("a", "b", verdict.alias("verdict"), F.round("jaccard", 6).alias("jaccard"), F.coalesce(F.col("category_a") == F.col("category_b"), F.lit(False)).alias("same_category"))
 
 
 def pair_log(spark, sf_dir):

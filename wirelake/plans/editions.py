@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import text as X
 from wirelake.operators import editions as D
+from wirelake.operators import pairs as P
 from wirelake.operators import series as S
 from wirelake.session import table
 
@@ -104,12 +105,8 @@ def profile_fold(spark, sf_dir):
 def continuity_check(spark, sf_dir):
     """Events of other ids with nearly the same headline stems."""
     ev = table(spark, sf_dir, "registry_events").where("headline is not null").select("event_id", X.stems(F.col("headline")).alias("s"))
-    tok = ev.select("event_id", F.explode("s").alias("t"), F.size("s").alias("n"))
-    df = tok.groupBy("t").agg(F.count("*").alias("df")).where("df between 2 and 50").select("t")
-    r = tok.join(df, "t")
-    p = r.select("t", F.col("event_id").alias("a"), F.col("n").alias("na")).join(r.select("t", F.col("event_id").alias("b"), F.col("n").alias("nb")), "t").where("a < b")
-    j = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
-    return j.where("jaccard >= 0.6").select("a", "b", "shared", "jaccard")
+    p = P.token_pairs(ev, "event_id", "s", 1, 0.59999)
+    return p.select("a", "b", "shared", F.round(P.jaccard(), 6).alias("jaccard")).where("jaccard >= 0.6")
 
 
 def stale_events(spark, sf_dir):

@@ -1,3 +1,4 @@
+from wirelake.operators import editions as D
 from wirelake.plans import editions
 
 
@@ -6,3 +7,10 @@ def test_events_of_common_stems_are_continuity(spark, tmp_path):
     rows = [(f"e{i:02}", f"alpha bravo charlie {'delta echos' if i < 2 else f'x{i:04}x y{i:04}y'}") for i in range(60)]
     spark.createDataFrame(rows, "event_id string, headline string").write.parquet(f"{tmp_path}/registry_events.parquet")
     assert [tuple(r) for r in editions.continuity_check(spark, str(tmp_path)).collect()] == [("e00", "e01", 5, 1.0)]
+
+
+def test_a_long_chain_of_copies_is_one_origin(spark):
+    """Twenty reports, each linked to the next by outlet or title in turn, against the order of refs."""
+    rows = [("s", 19 - i, f"o{i // 2}", f"t{(i + 1) // 2}") for i in range(20)] + [("s", 20, "other", "")]
+    got = D.evidence_groups(spark.createDataFrame(rows, "story string, ref long, outlet string, title_key string"), "story").collect()
+    assert {r.origin for r in got} == {0, 20}

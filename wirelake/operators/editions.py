@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirelake.session import stage
+
 
 def latest(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """One row of each key: the first in the given order."""
@@ -19,18 +21,22 @@ def compare(before: DataFrame, now: DataFrame, key: list[str], value: str) -> Da
     return j.select(*key, "old", "fresh", kind.alias("kind"))
 
 
-def evidence_groups(evidence: DataFrame, story: str, rounds: int = 4) -> DataFrame:
+def evidence_groups(evidence: DataFrame, story: str) -> DataFrame:
     """Reporting origins inside each story: evidence with the same outlet or the same title key belongs together.
 
-    evidence: story, ref (long, unique), outlet, title_key. Labels spread by minima over outlets and titles, ``rounds`` times,
-    which covers chains of that many copies of copies; each window holds the reports of one outlet in one story.
+    evidence: story, ref (long, unique in its story), outlet, title_key. Labels spread by minima over outlets and titles until none
+    changes, however long a chain of copies is; each window holds the reports of one outlet in one story.
     """
-    out = evidence.withColumn("origin", F.col("ref"))
-    for _ in range(rounds):
+    out = stage(evidence.withColumn("origin", F.col("ref")), "origins")
+    while True:
+        now = out.withColumn("_was", F.col("origin"))
         for link in ("outlet", "title_key"):
             linked = F.min("origin").over(Window.partitionBy(story, link))
-            out = out.withColumn("origin", F.when(F.col(link).isNotNull() & (F.col(link) != ""), linked).otherwise(F.col("origin")))
-    return out
+            now = now.withColumn("origin", F.when(F.col(link).isNotNull() & (F.col(link) != ""), linked).otherwise(F.col("origin")))
+        now = stage(now, "origins")
+        out = now.drop("_was")
+        if now.where(F.col("origin") != F.col("_was")).isEmpty():
+            return out
 
 
 def strength(groups: DataFrame, story: str) -> DataFrame:

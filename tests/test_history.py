@@ -1,0 +1,16 @@
+from wirelake.llm import history
+
+
+def test_compaction_keeps_what_earlier_batches_brought(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "MAX_RUNS", 2)
+    store = history.History(spark, str(tmp_path / "history"))
+    found = []
+    for i in range(5):
+        rows = [(10 * i, float(i), True, f"h{i}", f"story number{i} about subject{i} in place{i} today", None)]
+        rows += [(10 * i + 1, float(i), True, "h0", f"other{i} thing{i} unlike{i} all{i} else{i}", None)]  # hash of the first batch
+        rows += [(10 * i + 2, float(i), True, f"g{i}", "story number0 about subject0 in place0 today", None)]  # its title
+        batch = spark.createDataFrame(rows, "id long, start double, valid boolean, hash string, title string, report_key string")
+        found += [r.id for r in store.ingest(batch).collect()]
+        assert len(store.runs) <= 2
+    assert sorted(found) == [10 * i + k for i in range(1, 5) for k in (1, 2)]
+    assert history.History.open(spark, store.path).runs == store.runs

@@ -218,7 +218,7 @@ class History:
     def compact(self) -> None:
         """Merge all runs into one: one row for each bag and hash, keys by renewed counts."""
         one = stage(self._read("bags").where("start is not null").groupBy("k1", "k2").agg(F.any_value("bag").alias("bag"), F.min("start").alias("start")), "all_bags")
-        hashes = self._read("hashes").groupBy("hash").agg(F.min("start").alias("start"))
+        hashes = self._read("hashes").groupBy("h1", "h2").agg(F.min("start").alias("start"))
         self.counts = word_counts(one)
         run = f"{self.path}/run-{self._generation:06d}"
         self._write_keys(sort_keys(one, self.counts), run)

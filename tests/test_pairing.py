@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 from itertools import combinations
 
 from wirelake.plans import pairing
@@ -28,3 +29,14 @@ def test_long_lists_meet_in_blocks_once(spark, tmp_path, monkeypatch):
     _items(spark, tmp_path, ["alpha bravo charlie"] * 60)
     got = [(r.a, r.b) for r in pairing.lexical_pairs(spark, str(tmp_path)).collect()]
     assert sorted(got) == list(combinations(range(60), 2))
+
+
+def test_registry_score_counts_common_stems(spark, tmp_path):
+    """The first of 60 events has one rare stem; its other stem is in 20 events."""
+    events = [(f"e{i:02}", AT, {"commo" if i < 20 else f"v{i:04}": 3.0, "rares" if i == 0 else f"w{i:04}": 1.0}) for i in range(60)]
+    spark.createDataFrame(events, "event_id string, last_seen_utc timestamp, tokens map<string,double>").write.parquet(f"{tmp_path}/registry_events.parquet")
+    spark.createDataFrame([(1, "common rares", AT)], "item_id long, title string, item_time timestamp").write.parquet(f"{tmp_path}/cleaned_items.parquet")
+    got = pairing.registry_match(spark, str(tmp_path)).collect()
+    common, rare = math.log(61 / 20.5), math.log(61 / 1.5)
+    score = (3 * common**2 + rare**2) / (math.hypot(3 * common, rare) * math.hypot(common, rare))
+    assert [tuple(r) for r in got] == [(1, "e00", 1, round(score, 6))]

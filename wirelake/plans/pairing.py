@@ -72,7 +72,7 @@ def cohesive_story_groups(spark, sf_dir):
 
 
 def registry_match(spark, sf_dir):
-    """The registry event that each item continues: idf-weighted cosine of stems over events of the last 7 days."""
+    """The registry event that each item continues: idf-weighted cosine of all stems over events of the last 7 days that share a rare one."""
     ev = table(spark, sf_dir, "registry_events").select("event_id", F.unix_timestamp("last_seen_utc").alias("seen"), F.explode("tokens").alias("stem", "w"))
     docs = table(spark, sf_dir, "cleaned_items").select("item_id", F.unix_timestamp("item_time").alias("at"), F.explode(X.stems(F.col("title"))).alias("stem"))
     n = table(spark, sf_dir, "registry_events").agg((F.count("*") + 1).alias("n"))
@@ -81,8 +81,10 @@ def registry_match(spark, sf_dir):
     d = docs.join(idf, "stem")
     en = e.groupBy("event_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("en"))
     dn = d.groupBy("item_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("dn"))
-    hit = d.where("idf >= 3.0").join(e.select("event_id", "seen", "stem", "x"), "stem").where("at - seen between 0 and 7 * 86400")
-    dot = hit.groupBy("item_id", "event_id").agg(F.sum(F.col("idf") * F.col("x")).alias("dot"), F.count("*").alias("rare"))
+    hit = d.where("idf >= 3.0").join(e.select("event_id", "seen", "stem"), "stem").where("at - seen between 0 and 7 * 86400")
+    rare = hit.groupBy("item_id", "event_id").agg(F.count("*").alias("rare"))
+    shared = rare.join(d.select("item_id", "stem", "idf"), "item_id").join(e.select("event_id", "stem", "x"), ["event_id", "stem"])  # common stems too
+    dot = shared.groupBy("item_id", "event_id").agg(F.sum(F.col("idf") * F.col("x")).alias("dot"), F.first("rare").alias("rare"))
     scored = dot.join(en, "event_id").join(dn, "item_id").withColumn("score", F.round(F.col("dot") / (F.col("en") * F.col("dn")), 6))
     best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "event_id"))
     return scored.where("score >= 0.12").withColumn("rn", best).where("rn = 1").select("item_id", "event_id", F.col("rare").cast("bigint").alias("rare"), "score")

@@ -1,0 +1,16 @@
+from wirelake.llm import truncation
+
+
+def test_closing_phrases_outside_the_sample_count(spark, monkeypatch):
+    """A phrase on many texts none of which is in the sample; one that goes on in sentences outside it; words known by all rows."""
+    monkeypatch.setattr(truncation, "SAMPLE", 0)
+    texts = ["He said this. Read the full story here"] * 10 + ["It rained. The town council met"] * 4 + [f"The town council met on day {i}." for i in range(9)]
+    rows = spark.createDataFrame([("t", i, "s", t) for i, t in enumerate(texts)], "tbl string, id long, source string, text string")
+    known, _ = truncation.fit(rows)
+    assert "Read the full story here" in known.phrases and "The town council met" not in known.phrases
+    assert {"town", "council", "day"} <= known.words
+
+
+def test_prefixes():
+    begun = truncation.Prefixes({"a", "a b", "a c", "a b c", "b"})
+    assert sorted(begun.of("a b cd")) == ["a", "a b", "a b c"] and list(begun.of("a b")) == ["a"] and list(begun.of("c")) == []

@@ -5,7 +5,8 @@ the field is often found, with a mark of omission or inside a piece of markup, t
 without their last full stop, up to the end of an inner line, and values ending in a phrase that comes back on many records but
 never goes on inside a sentence give negatives. Seen of a text are its closing characters, the words before its end with names
 and figures masked, how much stands after its last sentence end, and how its length relates to the lengths that the field
-clips at. The sample is bounded by ``SAMPLE`` rows a field, as is the vocabulary; every record is then scored.
+clips at. Words and closing phrases are counted in all rows; the weights are fitted on a sample of ``SAMPLE`` rows a field; every
+record is then scored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.session import table
+from wirelake.session import stage, table
 
-#: Rows of a field that the classifier is fitted on, at most; entries of the vocabulary and of the closing phrases, at most.
-SAMPLE, VOCABULARY, PHRASES = 6000, 100_000, 2000
+#: Rows of a field that the classifier is fitted on, at most; entries of the vocabulary, at most.
+SAMPLE, VOCABULARY = 6000, 100_000
 #: Hashed weights.
 BITS = 18
 #: Longest length that may be a field's limit.
@@ -181,52 +182,100 @@ def clip_lengths(texts: DataFrame) -> dict[str, set[int]]:
     return out
 
 
-def _phrases(texts: DataFrame) -> list[str]:
-    """Closing phrases that come back on at least one text in 5,000, and three: the commonest ``PHRASES``."""
+def _closing(texts: DataFrame) -> DataFrame:
+    """(phrase, n): how often a phrase ends a text, or a line that others follow, in all rows."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [p for t in b.column("text").to_pylist() for p in phrases_of(*tail_of(t))]
+            out = [p for t in b.column("text").to_pylist() for p in [*phrases_of(*tail_of(t)), *_inner_phrases(t)]]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["phrase"])
 
-    total = texts.count()
-    counted = texts.select("text").mapInArrow(close, "phrase string").groupBy("phrase").count()
-    return [r.phrase for r in counted.where(F.col("count") >= max(3, total // 5000)).orderBy(F.desc("count"), "phrase").limit(PHRASES).collect()]
+    return texts.select("text").mapInArrow(close, "phrase string").groupBy("phrase").agg(F.count("*").alias("n"))
 
 
-def _going_on(sentences: list[str]):
-    """How many sentences begin with a phrase and go on, be it in the middle of a word."""
-    known = sorted(sentences)
-    return lambda phrase: bisect.bisect_left(known, phrase + "\U0010ffff") - bisect.bisect_right(known, phrase)
+def _inner_phrases(text: str) -> list[str]:
+    return [p for line in text.rstrip().split("\n")[:-1] for p in phrases_of(line.strip(), line.strip())]
+
+
+def _intact(text: str) -> bool:
+    return bool(_STOP.search(text.rstrip()) and not _MARK.search(text.rstrip()))
+
+
+def _sentences(text: str) -> Iterator[str]:
+    """Sentences that end as such, with names masked and not, figures masked in both."""
+    for line in text.split("\n"):
+        for sentence in _AFTER_STOP.split(line.strip()):
+            tokens = _TOKEN.findall(sentence)
+            if tokens and _STOP.search(sentence):
+                yield from {" ".join(_masked(tokens, False)), " ".join("9" if x[0].isdigit() else x for x in tokens)}
+
+
+class Prefixes:
+    """Which of many phrases a sentence begins with and goes on after, be it in the middle of a word."""
+
+    def __init__(self, phrases: set[str]):
+        self.phrases, self.shorter, chain = sorted(phrases), [], []
+        for i, p in enumerate(self.phrases):
+            while chain and not p.startswith(self.phrases[chain[-1]]):
+                chain.pop()
+            self.shorter.append(chain[-1] if chain else -1)
+            chain.append(i)
+
+    def of(self, sentence: str) -> Iterator[str]:
+        at = bisect.bisect_left(self.phrases, sentence) - 1
+        while at >= 0:
+            if sentence.startswith(self.phrases[at]):
+                yield self.phrases[at]
+            at = self.shorter[at]
+
+
+def _going_on(texts: DataFrame, phrases: set[str]) -> dict[str, int]:
+    """How many sentences of all intact texts begin with a phrase and go on."""
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(phrases))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, total = Prefixes(set(shared.value)), Counter()
+        for b in batches:
+            total.update(p for t in b.column("text").to_pylist() if _intact(t) for s in _sentences(t) for p in begun.of(s))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["phrase", "n"])
+
+    return {r.phrase: r.n for r in texts.select("text").mapInArrow(count, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
+
+
+def _words(texts: DataFrame) -> set[str]:
+    """Words that all intact texts have more than twice."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = Counter(w for t in b.column("text").to_pylist() if _intact(t) for w in re.findall(r"[^\W\d_]+", t.lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word for r in counted.where("n > 2").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+
+
+def _phrases(texts: DataFrame, inner: set[str]) -> set[str]:
+    """Complete closing phrases: those on one text in 5,000, and three, and ``inner`` ones, that seldom go on. Counted in all rows."""
+    counted = stage(_closing(texts), "closing")
+    extra = texts.sparkSession.createDataFrame([(p,) for p in sorted(inner)], "phrase string")
+    often = counted.where(F.col("n") >= max(3, texts.count() // 5000))  # bounded by 5,000 times the phrases of a text
+    closing = {r.phrase: r.n for r in often.unionByName(counted.join(extra, "phrase", "left_semi")).collect()}
+    bare = {p: re.sub(" [\x02\x03]$", "", p) for p in closing}
+    goes_on = _going_on(texts, set(bare.values()))
+    return {p for p, n in closing.items() if goes_on.get(bare[p], 0) * 2 < n}
 
 
 def fit(texts: DataFrame) -> tuple[Known, np.ndarray]:
-    """Classifier and knowledge from all lengths and closing phrases and a bounded sample of the texts."""
+    """Knowledge from all texts, and the classifier from a bounded sample of them."""
     limits = clip_lengths(texts)
     fields = [r.tbl for r in texts.select("tbl").distinct().collect()]
     sample: list[tuple[str, str]] = []
     for f in sorted(fields):
         rows = texts.where(F.col("tbl") == f).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text").collect()
         sample += [(f, r.text) for r in rows]
-    intact = [(f, t) for f, t in sample if _STOP.search(t.rstrip()) and not _MARK.search(t.rstrip())]
-    counted = Counter(w for _, t in intact for w in re.findall(r"[^\W\d_]+", t.lower()))
-    words = {w for w, c in counted.most_common(VOCABULARY) if c > 2}
-    sentences: list[str] = []
-    closing: Counter[str] = Counter()  # phrases at the end of texts and of lines that others follow
-    for _, t in intact:
-        for line in t.split("\n"):
-            for sentence in _AFTER_STOP.split(line.strip()):
-                tokens = _TOKEN.findall(sentence)
-                if tokens and _STOP.search(sentence):
-                    sentences += {" ".join(_masked(tokens, False)), " ".join("9" if x[0].isdigit() else x for x in tokens)}
-    frequent = set(_phrases(texts))
-    for _, t in sample:
-        rows = t.rstrip().split("\n")
-        frequent.update(p for line in rows[:-1] for p in phrases_of(line.strip(), line.strip()))
-        closing.update(p for line in rows[:-1] for p in phrases_of(line.strip(), line.strip()))
-        closing.update(phrases_of(*tail_of(t)))
-    goes_on = _going_on(sentences)
-    phrases = {p for p in frequent if goes_on(re.sub(" [\x02\x03]$", "", p)) * 2 < closing[p]}
+    intact = [(f, t) for f, t in sample if _intact(t)]
+    words = _words(texts)
+    phrases = _phrases(texts, {p for _, t in sample for p in _inner_phrases(t)})
     known = Known(limits, words, phrases)
     rng = np.random.default_rng(5)
     x: list[list[int]] = []

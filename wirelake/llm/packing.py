@@ -3,7 +3,8 @@
 Lengths are token counts of a public tokenizer. Only the histogram (at most one entry per length up to the capacity) reaches
 the driver. Lengths are placed longest first, each on the packing patterns with the shortest contents, whole counts of a
 pattern at a time, so the work does not depend on the number of texts. Patterns become intervals of ranks: the r-th text of a
-length has one container. Ranks are counted by hash bucket and prefix sums, so one length may hold any share of the texts.
+length has one container. Ranks are counted by hash bucket and prefix sums, the buckets of a length following its count, so one
+length may hold any share of the texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how that vocabulary's texts are split before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Buckets in which the texts of a length are ranked.
-RANK_BUCKETS = 256
+#: Texts of one length that are ranked in one task, about.
+RANKED = 100_000
 _LOADED: dict[str, object] = {}
 
 
@@ -53,52 +54,74 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return texts.mapInArrow(count, f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long")
 
 
-def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Packing patterns (lengths, longest first) with their counts: every item of the histogram in exactly one place."""
-    done: list[tuple[list[int], int]] = []
-    open_: list[tuple[int, int, list[int], int]] = []  # contents, order of opening, lengths, count
-    opened = 0
+def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+    """Packing patterns, each a list of (length, times) with the number of its containers: every item has exactly one place.
+
+    Lengths come longest first. A length goes on the pattern of the shortest contents that has room, whole counts at a time, so
+    each length splits at most one pattern. What fits nowhere opens the fewest containers that hold it, spread evenly. There are
+    thus at most two patterns for each length of the histogram, and one pattern has at most sqrt(2 x capacity) different lengths.
+    """
+    done: list[tuple[list[tuple[int, int]], int]] = []
+    open_: list[tuple[int, int, list[tuple[int, int]], int]] = []  # contents, order of opening, lengths, containers
+    order = 0
+
+    def put(used: int, lengths: list[tuple[int, int]], count: int, into: list) -> None:
+        nonlocal order
+        order += 1
+        if used == capacity:
+            done.append((lengths, count))
+        elif count:
+            into.append((used, order, lengths, count))
+
     for length in sorted(histogram, reverse=True):
         left, grown = histogram[length], []
         while left:
-            if not open_ or open_[0][0] + length > capacity:
-                if grown:  # the patterns of this length may take another one
-                    for g in grown:
-                        heapq.heappush(open_, g)
-                    grown = []
-                    continue
-                opened += 1
-                heapq.heappush(grown, (length, opened, [length], left))
-                break
-            used, order, lengths, count = heapq.heappop(open_)
-            n = min(left, count)
-            left -= n
-            if n < count:
-                heapq.heappush(open_, (used, order, lengths, count - n))
-            opened += 1
-            if used + length == capacity:
-                done.append(([*lengths, length], n))
+            if open_ and open_[0][0] + length <= capacity:
+                used, at, lengths, count = heapq.heappop(open_)
+                n = min(left, count)
+                left -= n
+                if n < count:
+                    heapq.heappush(open_, (used, at, lengths, count - n))
+                *rest, (last, times) = lengths
+                put(used + length, [*rest, (last, times + 1)] if last == length else [*lengths, (length, 1)], n, grown)
+            elif grown:  # the patterns that took this length may take another one
+                for g in grown:
+                    heapq.heappush(open_, g)
+                grown = []
             else:
-                grown.append((used + length, opened, [*lengths, length], n))
+                need = -(-left // (capacity // length))
+                each, more = divmod(left, need)
+                put((each + 1) * length, [(length, each + 1)], more, grown)
+                put(each * length, [(length, each)], need - more, grown)
+                break
         for g in grown:
             heapq.heappush(open_, g)
     return done + [(lengths, count) for _, _, lengths, count in open_]
 
 
-def intervals(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length: first ranks, rising, and the container of each first rank."""
-    starts: dict[int, list[int]] = {}
-    bases: dict[int, list[int]] = {}
+def fill(patterns: list[tuple[list[tuple[int, int]], int]], capacity: int = CAPACITY) -> float:
+    """Used share of all containers."""
+    room = sum(count for _, count in patterns) * capacity
+    return sum(x * times * count for lengths, count in patterns for x, times in lengths) / room if room else 1.0
+
+
+#: Ranks of one length stay below this.
+_RANKS = 1 << 44
+
+
+def intervals(patterns: list[tuple[list[tuple[int, int]], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks by length: sorted starts (length x ``_RANKS`` + first rank), first container and number of containers of each."""
+    rows: list[tuple[int, int, int]] = []
     nexts: dict[int, int] = {}
     base = 0
     for lengths, count in patterns:
-        for x in lengths:
+        for x, times in lengths:
             at = nexts.get(x, 0)
-            starts.setdefault(x, []).append(at)
-            bases.setdefault(x, []).append(base)
-            nexts[x] = at + count
+            rows.append((x * _RANKS + at, base, count))
+            nexts[x] = at + times * count
         base += count
-    return {x: (np.array(starts[x]), np.array(bases[x])) for x in starts}
+    start, first, count = np.array(sorted(rows), np.int64).reshape(-1, 3).T
+    return start, first, count
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -115,25 +138,23 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     pieces = counted.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(whole).alias("piece")).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), F.when(F.col("piece") < full, capacity).otherwise(F.col("n_tokens") % capacity).cast("int").alias("length")
     )
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    places = spark.sparkContext.broadcast(intervals(pack(histogram, capacity)))  # at most 2 x capacity patterns of few lengths
+    buckets = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in histogram.items()], "length int, buckets long")  # at most ``capacity`` rows
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))
+    bucketed = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket)
     counts = stage(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "length_counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    places = spark.sparkContext.broadcast(intervals(pack(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
     ranked = bucketed.withColumn("inside", inside).join(offsets, ["length", "bucket"]).select("doc_id", "piece", F.col("length").alias("n_tokens"), (F.col("offset") + F.col("inside")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, first, count = places.value
         for b in batches:
-            length, rank = b.column("n_tokens").to_numpy(), b.column("rank").to_numpy()
-            out = np.empty(len(rank), np.int64)
-            by = np.argsort(length, kind="stable")
-            cut = np.flatnonzero(np.diff(length[by])) + 1
-            for part in np.split(by, cut) if len(by) else ():
-                starts, bases = places.value[int(length[part[0]])]
-                at = np.searchsorted(starts, rank[part], "right") - 1
-                out[part] = bases[at] + rank[part] - starts[at]
+            wanted = b.column("n_tokens").to_numpy().astype(np.int64) * _RANKS + b.column("rank").to_numpy()
+            at = np.searchsorted(start, wanted, "right") - 1
+            out = first[at] + (wanted - start[at]) % count[at]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("n_tokens"), pa.array(out)], names=["doc_id", "piece", "n_tokens", "container"])
 
     kind = dict(pieces.dtypes)["doc_id"]

@@ -1,10 +1,14 @@
 """The k most similar vectors of every vector (problem 4): a navigable small-world graph per shard, shard results merged.
 
-Equal vectors are folded into one node first, so copies cost nothing. The nodes of each vector space are cut into shards of
-about ``SHARD`` nodes by hash. A shard's graph has hierarchical layers, each stored as one flat array of neighbour ids; it is
-built and searched many nodes at a time with numpy. Every node is searched in every shard of its space, query blocks of a
-space being spread over tasks, and the candidates of all shards are merged. Their cosines are computed again in double
-precision, so the result is exact but for neighbours that the graph missed; recall is measured in the tests.
+Equal vectors are folded into one node first, so copies cost nothing. The nodes of a space are divided by coarse centres, fitted on
+a bounded sample (``SAMPLE`` nodes a centre, at most ``CENTRES`` centres a space), and the nodes of one centre by hash into shards
+of about ``SHARD``, so that no shard follows the skew of the data. Every node is indexed. A shard's graph has hierarchical layers,
+each stored as one flat array of neighbour ids, built and searched many nodes at a time with numpy, whatever its size.
+
+A node is searched in the shards of its nearest centres only: ``PROBES`` of them, and those nearly as near as the first. Query
+blocks of a centre are spread over tasks and the candidates of all shards are merged. Their cosines are computed again in double
+precision, so the result is exact but for neighbours that the graphs or the routing missed; ``tests/llm/test_vectors.py`` measures
+recall against brute force and the README gives the figures.
 """
 
 from __future__ import annotations
@@ -13,20 +17,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wirelake.session import stage, table
 
 #: Nodes of one graph, about.
 SHARD = 16384
-#: Nodes that search a shard in one task, about.
+#: Nodes that search a shard, or are routed, in one task, about.
 QUERY_BLOCK = 16384
+#: Centres of a space, at most, and the nodes that each is fitted on, about.
+CENTRES, SAMPLE = 1024, 32
+#: Centres whose shards a node is searched in at least, and how near to it others must be, as a share of the nearest one's cosine.
+PROBES, NEARLY = 3, 0.3
 #: Links of a node above the bottom layer; the bottom layer has twice as many.
 LINKS = 16
 #: Nodes kept open in a search while building, and in the final search.
 BUILD_WIDTH, SEARCH_WIDTH = 64, 96
-#: Up to this many nodes a shard is compared as a whole: a graph would cost more.
-PLAIN = 1024
 
 
 class Graph:
@@ -171,12 +176,6 @@ class Graph:
         return ids[:, :k], score[:, :k]
 
 
-def _plain(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    sims = q @ x.T
-    k = min(k, len(x))
-    return np.argpartition(-sims, k - 1, 1)[:, :k] if k < len(x) else np.broadcast_to(np.arange(len(x)), sims.shape)
-
-
 def _unit(col: pd.Series) -> np.ndarray:
     """Vectors of length 1 in double precision, without overflow."""
     x = np.vstack([np.asarray(v, np.float64) for v in col])
@@ -192,7 +191,47 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(sound).select(F.concat_ws("#", space, F.col("dims")).alias("space"), "vec_key", "vec")
 
 
-def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEARCH_WIDTH) -> DataFrame:
+def centres(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of unit vectors by spherical k-means."""
+    rng = np.random.default_rng(5)
+    c = x[rng.choice(len(x), min(count, len(x)), replace=False)].astype(np.float32)
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(length > 0, total / np.maximum(length, 1e-12), c).astype(np.float32)
+    return c
+
+
+def _routes(nodes: DataFrame, sizes: DataFrame, probes: int, nearly: float) -> DataFrame:
+    """(space, node, centre, asked): the centre of each node and the centres whose shards it is searched in."""
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        c = centres(_unit(frame.vec).astype(np.float32), int(frame.centres.iloc[0]))
+        return pd.DataFrame({"space": frame.space.iloc[0], "blocks": frame.blocks.iloc[0], "dims": c.shape[1], "centres": [c.tobytes()]})
+
+    def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"space": [], "node": [], "centre": [], "asked": []})
+        c = np.frombuffer(right.centres.iloc[0], np.float32).reshape(-1, right.dims.iloc[0])
+        sims = _unit(left.vec).astype(np.float32) @ c.T
+        order = np.argsort(-sims, 1, kind="stable")
+        best = np.take_along_axis(sims, order, 1)
+        take = (np.arange(best.shape[1]) < probes) | (best >= nearly * best[:, :1])
+        return pd.DataFrame({"space": left.space.to_numpy(), "node": left.node.to_numpy(), "centre": order[:, 0].astype(np.int32), "asked": [o[t].astype(np.int32) for o, t in zip(order, take)]})
+
+    many = nodes.join(sizes.where("centres > 1"), "space")
+    one = nodes.join(sizes.where("centres = 1"), "space").select("space", "node", F.lit(0).alias("centre"), F.array(F.lit(0)).alias("asked"))
+    sample = many.where(F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("centres") * SAMPLE)))) == 0)
+    fitted = sample.select("space", "blocks", "centres", "vec").groupBy("space").applyInPandas(fit, "space string, blocks int, dims int, centres binary")
+    served = fitted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asks = many.select("space", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int").alias("block"), "node", "vec")
+    routed = asks.groupBy("space", "block").cogroup(served.groupBy("space", "block")).applyInPandas(route, "space string, node long, centre int, asked array<int>")
+    return one.unionByName(routed)
+
+
+def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEARCH_WIDTH, probes: int = PROBES, nearly: float = NEARLY) -> DataFrame:
     """(vec_key, other, cosine, rank): the k most similar other vectors of each usable vector, within its space.
 
     vectors: vec_key string (unique), dims int, vec array<float>; other columns are ignored. Cosines are rounded to 9 decimals
@@ -205,9 +244,16 @@ def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEA
     salted = v.withColumn("salt", F.pmod(F.xxhash64("vec_key"), F.lit(64)))
     top = _smallest(_smallest(salted.select(*group, "salt", "vec_key"), [*group, "salt"], k + 1), group, k + 1)
     keys = top.groupBy(*group).agg(F.array_sort(F.collect_list("vec_key")).alias("keys"))
-    nodes = stage(v.groupBy(*group).agg(F.any_value("vec").alias("vec")).join(keys, group).withColumn("node", F.xxhash64(*group)), "nodes")
+    nodes = stage(v.groupBy(*group).agg(F.any_value("vec").alias("vec")).join(keys, group).select("space", F.xxhash64(*group).alias("node"), "keys", "vec"), "nodes")
     sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
-    sizes = sizes.select("space", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("blocks"))
+    sizes = stage(
+        sizes.select("space", "n", F.least(F.lit(CENTRES), F.ceil(F.col("n") / shard)).cast("int").alias("centres"), F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("blocks")), "sizes"
+    )
+    routes = stage(_routes(nodes, sizes, probes, nearly), "routes")
+    by = ["space", "centre"]
+    asked = routes.select("space", F.explode("asked").alias("centre"), "node")
+    places = routes.groupBy(*by).agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
+    places = stage(places.join(asked.groupBy(*by).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")), by), "places")  # one row a centre
 
     def part(count: str, seed: int) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
@@ -215,51 +261,50 @@ def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEA
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
         x = _unit(frame.vec)
-        layers = Graph(x).layers if len(x) > PLAIN else []
-        row = [[frame.space.iloc[0]], [frame.shard.iloc[0]], [frame.blocks.iloc[0]], [frame["keys"].map(list).tolist()], [x.shape[1]], [x.tobytes()], [[a.tobytes() for a in layers]]]
-        return pd.DataFrame(dict(zip(("space", "shard", "blocks", "keys", "dims", "vectors", "layers"), row)))
+        facts = {c: [frame[c].iloc[0]] for c in ("space", "centre", "part", "blocks")}
+        return pd.DataFrame(facts | {"keys": [frame["keys"].map(list).tolist()], "dims": [x.shape[1]], "vectors": [x.tobytes()], "layers": [[a.tobytes() for a in Graph(x).layers]]})
 
-    placed = nodes.join(sizes, "space").select("space", part("shards", 1).alias("shard"), "blocks", "node", "keys", "vec")
+    placed = nodes.join(routes.select("space", "node", "centre"), ["space", "node"]).join(places, by).select("space", "centre", part("parts", 1).alias("part"), "blocks", "node", "keys", "vec")
     graphs = stage(
-        placed.groupBy("space", "shard").applyInPandas(build, "space string, shard int, blocks int, keys array<array<string>>, dims int, vectors binary, layers array<binary>"), "graphs"
+        placed.groupBy("space", "centre", "part").applyInPandas(build, "space string, centre int, part int, blocks int, keys array<array<string>>, dims int, vectors binary, layers array<binary>"),
+        "graphs",
     )
 
     def search(query: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(stored):
-            return pd.DataFrame({"node": [], "cand": []})
+            return pd.DataFrame({"node": [], "cosine": [], "other": []})
         g = stored.iloc[0]
         x = np.frombuffer(g.vectors).reshape(-1, g.dims)
-        graph = Graph.stored(x, g.layers) if len(g.layers) else None
-        q, members, out = _unit(query.vec), g["keys"], []
-        wide = min(len(x), 4 * k)
+        graph = Graph.stored(x, g.layers)
+        held = np.array([len(m) for m in g["keys"]])
+        names, place = np.unique(np.concatenate([np.asarray(m, object) for m in g["keys"]]).astype(str), return_inverse=True)
+        first = np.cumsum(held) - held
+        q, out, wide = _unit(query.vec), [], min(len(x), 4 * k)
+        asking = query.node.to_numpy()
         for at in range(0, len(q), 512):
             b = q[at : at + 512]
-            ids = graph.search(b, wide, max(width, wide))[0] if graph else _plain(x, b, wide)
-            exact = np.round(np.einsum("nkd,nd->nk", x[np.maximum(ids, 0)], b), 9)
-            exact[ids < 0] = -np.inf
-            for i in range(len(b)):
-                found: list[tuple[float, str]] = []
-                last = None
-                for j in np.argsort(-exact[i], kind="stable"):
-                    s = exact[i, j]
-                    if not np.isfinite(s) or (len(found) > k and s < last):
-                        break
-                    found += [(-s, key) for key in members[ids[i, j]]]
-                    last = s
-                found.sort()
-                out.append([(-s, key) for s, key in found[: k + 1]])
-        return pd.DataFrame({"node": query["node"].to_numpy(), "cand": out})
-
-    cand = T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("other", T.StringType())]))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("cand", cand)])
-    asks = nodes.join(sizes, "space").select("space", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), part("blocks", 2).alias("block"), "node", "vec")
+            ids = graph.search(b, wide, max(width, wide))[0]
+            row, col = np.nonzero(ids >= 0)
+            node = ids[row, col]
+            exact = np.round(np.einsum("nd,nd->n", x[node], b[row]), 9)
+            many = held[node]  # each copy of a vector is a candidate
+            row, exact = np.repeat(row, many), np.repeat(exact, many)
+            key = place[np.repeat(first[node], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+            order = np.lexsort((key, -exact, row))
+            row, exact, key = row[order], exact[order], key[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = rank <= k  # k + 1 of them, as the node's own key may be one
+            out.append(pd.DataFrame({"node": asking[at + row[best]], "cosine": exact[best], "other": names[key[best]]}))
+        return pd.concat(out)
+
+    asks = nodes.select("space", "node", "vec").join(asked, ["space", "node"]).join(places, by)
+    asks = asks.select("space", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("blocks", 2).alias("block"), "node", "vec")
     served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    at = ("space", "shard", "block")
-    hits = asks.groupBy(*at).cogroup(served.groupBy(*at)).applyInPandas(lambda left, right: search(left, right), schema)
-    # merge the shards: k + 1 best of at most shards * (k + 1)
-    flat = hits.select("node", F.inline("cand"))
+    at = ("space", "centre", "part", "block")
+    flat = asks.groupBy(*at).cogroup(served.groupBy(*at)).applyInPandas(lambda left, right: search(left, right), "node long, cosine double, other string")
+    # merge the shards: k + 1 best of the k + 1 that each gave
     order = F.row_number().over(_window(["node"], [F.desc("cosine"), F.asc("other")]))
-    best = stage(flat.withColumn("at", order).where(F.col("at") <= k + 1).select("node", "cosine", "other", "at"), "best")
+    best = stage(flat.withColumn("at", order).where(F.col("at") <= k + 1), "best")
     lists = best.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "cosine", "other"))).alias("best"))
     rows = v.select("vec_key", F.xxhash64("space", "h1", "h2").alias("node")).join(lists, "node")
     others = F.slice(F.filter("best", lambda b: b["other"] != F.col("vec_key")), 1, k)

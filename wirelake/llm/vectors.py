@@ -27,7 +27,7 @@ QUERY_BLOCK = 16384
 #: Centres of a space, at most, and the nodes that each is fitted on, about.
 CENTRES, SAMPLE = 1024, 32
 #: Centres whose shards a node is searched in at least, and how near to it others must be, as a share of the nearest one's cosine.
-PROBES, NEARLY = 3, 0.3
+PROBES, NEARLY = 8, 0.3
 #: Links of a node above the bottom layer; the bottom layer has twice as many.
 LINKS = 16
 #: Nodes kept open in a search while building, and in the final search.

@@ -33,8 +33,14 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "һ": "h",
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ё": "ë", "ѐ": "è", "ӏ": "l", "Ӏ": "I", "ӓ": "ä", "Ӓ": "Ä", "ӧ": "ö",
     "Ӧ": "Ö", "ӑ": "ă", "Ӑ": "Ă", "ӗ": "ĕ", "Ӗ": "Ĕ",
-    # Armenian, Cherokee-free remainder and IPA
-    "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n", "ɡ": "g", "ɑ": "a", "ǃ": "!",
+    # Armenian and IPA
+    "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n", "Օ": "O", "Տ": "S", "Լ": "L", "Ս": "U", "ɡ": "g", "ɑ": "a", "ǃ": "!", "ɩ": "ı",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4",
+    "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "Ᏻ": "G",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 # Characters without width.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
@@ -45,7 +51,7 @@ _SAME_LOOKS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 def _mapping() -> dict[int, str]:
     out: dict[int, str] = {ord(k): v for k, v in LOOKALIKES.items()}
     out |= dict.fromkeys(map(ord, INVISIBLE), "") | dict.fromkeys([*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)], "")
-    for cp in [*range(0x80, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+    for cp in [*range(0x80, 0x3400), *range(0xA4D0, 0xA500), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
         c = chr(cp)
         if cp in out:
             continue
@@ -94,16 +100,19 @@ def _plain_udf(s: pd.Series) -> pd.Series:
     return s.map(plain_text, na_action="ignore")
 
 
+def _unstable(col: Column) -> Column:
+    """Whether the quick check fails; plain ASCII, told by its length in bytes, is stable."""
+    return (F.octet_length(col) != F.char_length(col)) & col.rlike(QUICK_CHECK)
+
+
 def canonical(col: Column) -> Column:
     """The consistent form of a text column; null stays null. Only texts that fail the quick check are sent to Python."""
-    hit = col.rlike(QUICK_CHECK)
-    return F.when(hit, _canonical_udf(F.when(hit, col))).otherwise(col)
+    return F.coalesce(_canonical_udf(F.when(_unstable(col), col)), col)
 
 
 def plain(col: Column) -> Column:
     """As ``canonical``, character references resolved first."""
-    hit = col.rlike(QUICK_CHECK) | col.contains("&")
-    return F.when(hit, _plain_udf(F.when(hit, col))).otherwise(col)
+    return F.coalesce(_plain_udf(F.when(col.contains("&") | _unstable(col), col)), col)
 
 
 def word_array(col: Column) -> Column:
@@ -120,13 +129,29 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     side of every pair is an unstable text: the small unstable side is joined with all rows on a 96-bit key of the form.
     """
     form = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select(
-        "tbl", "id", F.xxhash64("text").alias("raw"), F.col("text").rlike(QUICK_CHECK).alias("unstable"), canonical(F.col("text")).alias("form")
+        "tbl", "id", F.xxhash64("text").alias("raw"), _unstable(F.col("text")).alias("unstable"), canonical(F.col("text")).alias("form")
     ).select("tbl", "id", "raw", "unstable", F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"))
     u = form.where("unstable").select("tbl", "k1", "k2", F.col("id").alias("u_id"), F.col("raw").alias("u_raw"))
     j = u.join(form, ["tbl", "k1", "k2"]).where((F.col("u_raw") != F.col("raw")) & (~F.col("unstable") | (F.col("u_id") < F.col("id"))))
     return j.select("tbl", F.least("u_id", "id").alias("id_a"), F.greatest("u_id", "id").alias("id_b"))
 
 
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(tbl, first_id, records, variants, unstable): the records that look the same, where they are not all the same characters.
+
+    The linear form of ``lookalike_pairs``: one row for each such group, however many pairs it makes. Null and empty texts take
+    no part. Copies are counted before the shuffle, so a text on a third of all rows costs one row a task.
+    """
+    seen = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("form", canonical(F.col("text")))
+    one = seen.groupBy("tbl", F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"), F.xxhash64("text").alias("raw")).agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max(F.when(F.col("form") != F.col("text"), 1).otherwise(0)).alias("odd")
+    )
+    out = one.groupBy("tbl", "k1", "k2").agg(
+        F.min("first_id").alias("first_id"), F.sum("n").alias("records"), F.count("*").alias("variants"), F.sum(F.when(F.col("odd") == 1, F.col("n")).otherwise(0)).alias("unstable")
+    )
+    return out.where("variants > 1").select("tbl", "first_id", "records", "variants", "unstable")
+
+
 def titles_and_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, id, text of the two tables that problems 2 and 7 look at."""
     raw = table(spark, sf_dir, "raw_items").select(F.lit("raw_items").alias("tbl"), F.col("id"), F.col("title").alias("text"))
@@ -138,5 +163,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(titles_and_descriptions(spark, sf_dir))
 
 
-QUERIES = {"p7_found": p7_found}
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(titles_and_descriptions(spark, sf_dir))
+
+
+QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes}
 SQL: dict[str, str] = {}

@@ -1,9 +1,11 @@
 """Evaluation passages inside documents (problem 9): Wu-Manber search over words.
 
 The symbols are words, so punctuation, spacing and line breaks don't count. The patterns are all windows of ``WINDOW`` words
-of all passages. A shift table over blocks of two words tells how far the search may jump: a block that no pattern has lets it
-skip ``WINDOW`` - 1 words, so most of a clean document is never looked at. Where the shift is zero, the block is a pattern's
-last one: its bucket gives the pattern positions, whose words are compared directly.
+of all passages. A shift table over blocks of words tells how far the search may jump: a block that no pattern has lets it skip
+``WINDOW`` - 1 words or one less for each further word of a block, so most of a clean document is never looked at. Where the shift
+is zero, the block is a pattern's last one: its bucket gives the pattern positions, whose first word and then all words are
+compared directly. A block has two words, and one more for each thousandfold of the passage words beyond ``FEW``, so that with many
+test items zero shifts and full buckets stay rare.
 
 The passages go to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block, so
 that what is broadcast is bounded however many test items there are.
@@ -25,6 +27,8 @@ from wirelake.session import table
 WINDOW = 12
 #: Passage words in one block of patterns.
 BLOCK_WORDS = 1_000_000
+#: Passage words up to which blocks of two words will do.
+FEW = 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -37,28 +41,33 @@ def text_words(text: str) -> list[str]:
 class WuManber:
     """Shift table and suffix buckets for all windows of the passages (item, words)."""
 
-    def __init__(self, passages: list[tuple[int, list[str]]], window: int = WINDOW):
+    def __init__(self, passages: list[tuple[int, list[str]]], window: int = WINDOW, block: int | None = None):
         self.window, self.passages = window, [p for p in passages if len(p[1]) >= window]
-        self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        total, size = sum(len(w) for _, w in self.passages), 2
+        while total > FEW * 1000 ** (size - 2):
+            size += 1
+        self.block = min(block or size, window)
+        self.shift: dict[tuple[str, ...], int] = {}
+        self.bucket: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(self.passages):
-            for j in range(len(words) - 1):
-                block = (words[j], words[j + 1])
-                left = max(0, window - 2 - j)  # words between this block and the end of the first window that has it
-                self.shift[block] = min(self.shift.get(block, left), left)
+            for j in range(self.block, len(words) + 1):
+                at = tuple(words[j - self.block : j])
+                left = max(0, window - j)  # words between this block and the end of the first window that has it
+                self.shift[at] = min(self.shift.get(at, left), left)
                 if not left:
-                    self.bucket.setdefault(block, []).append((k, j + 2))
+                    self.bucket.setdefault(at, []).append((k, j))
 
     def items(self, words: list[str]) -> set[int]:
         """Items of which ``words`` hold a window."""
         found: set[int] = set()
-        at, end, skip = self.window, len(words), self.window - 1
-        get, jump = self.shift.get, 0
+        at, end, size = self.window, len(words), self.block
+        skip, get = self.window - size + 1, self.shift.get
         while at <= end:
-            jump = get((words[at - 2], words[at - 1]), skip)
+            here = tuple(words[at - size : at])
+            jump = get(here, skip)
             if not jump:
                 start = at - self.window
-                for k, stop in self.bucket[words[at - 2], words[at - 1]]:
+                for k, stop in self.bucket[here]:
                     item, passage = self.passages[k]
                     if item not in found and passage[stop - self.window] == words[start] and passage[stop - self.window : stop] == words[start:at]:
                         found.add(item)

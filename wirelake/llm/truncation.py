@@ -5,8 +5,9 @@ the field is often found, with a mark of omission or inside a piece of markup, t
 without their last full stop, up to the end of an inner line, and values ending in a phrase that comes back on many records but
 never goes on inside a sentence give negatives. Seen of a text are its closing characters, the words before its end with names
 and figures masked, how much stands after its last sentence end, and how its length relates to the lengths that the field
-clips at. Words and closing phrases are counted in all rows; the weights are fitted on a sample of ``SAMPLE`` rows a field; every
-record is then scored.
+clips at. Lengths, words and closing phrases are counted in all rows, without a cap: words by hash bucket, so that what the scorer
+knows of them has a fixed size, lengths and phrases by their share of the rows. The weights are fitted on a sample of ``SAMPLE``
+rows a field; every record is then scored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from pyspark.sql import functions as F
 
 from wirelake.session import stage, table
 
-#: Rows of a field that the classifier is fitted on, at most; entries of the vocabulary, at most.
-SAMPLE, VOCABULARY = 6000, 100_000
-#: Hashed weights.
-BITS = 18
-#: Longest length that may be a field's limit.
-LONGEST_LIMIT = 20_000
+#: Rows of a field that the classifier is fitted on, at most.
+SAMPLE = 6000
+#: Hashed weights, and hashed counts of words.
+BITS, WORD_BITS = 18, 21
 
 _MARK = re.compile(r"\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\))\s*$")
 _STOP = re.compile(r"[.!?。][\"»”’')\]]*$")
@@ -54,13 +53,20 @@ def _masked(tokens: list[str], shout: bool) -> list[str]:
 class Known:
     """What the scorer knows of the data: clip lengths by field, vocabulary, and closing phrases that are complete."""
 
-    def __init__(self, limits: dict[str, set[int]], words: set[str], phrases: set[str]):
+    def __init__(self, limits: dict[str, set[int]], words: np.ndarray, phrases: set[str]):
         self.limits, self.words, self.phrases = limits, words, phrases
 
+    def word(self, word: str) -> bool:
+        return bool(self.words[_bucket(word.lower())])
+
     def complete(self, line: str, tail: str) -> bool:
         return any(p in self.phrases for p in phrases_of(line, tail))
 
 
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) >> (32 - WORD_BITS)
+
+
 def tail_of(text: str) -> tuple[str, str]:
     """The last line, and what stands after its last sentence end."""
     line = text.rstrip().rsplit("\n", 1)[-1].strip()
@@ -70,7 +76,7 @@ def tail_of(text: str) -> tuple[str, str]:
 def phrases_of(line: str, tail: str) -> list[str]:
     """A closing phrase as it is and with names masked, figures masked in both; one with a mark only if it is the whole line."""
     mark = bool(_MARK.search(tail))
-    if not tail or len(tail) > 160 or (mark and line != tail) or (not mark and _STOP.search(tail)):
+    if not tail or (mark and line != tail) or (not mark and _STOP.search(tail)):
         return []
     tokens = _TOKEN.findall(_MARK.sub("", tail) if mark else tail)
     end = " \x02" if mark else ""
@@ -116,7 +122,7 @@ def features(text: str, field: str, known: Known) -> list[int]:
     seen = [f"kind {kind} {complete}", f"kind {kind} {at} {complete}", f"space {text != body and '\n' not in text[len(body):]} {kind} {complete}"]
     if not complete and kind not in ("stop", "mark", "markup", "broken"):
         word = tokens[-1] if tokens else ""
-        novel = "name" if word[:1].isupper() and not shout else "figure" if word[:1].isdigit() else "sign" if not word[:1].isalnum() else "known" if word.lower() in known.words else "novel"
+        novel = "name" if word[:1].isupper() and not shout else "figure" if word[:1].isdigit() else "sign" if not word[:1].isalnum() else "known" if known.word(word) else "novel"
         seen += [f"word {novel}", f"word {novel} {at}", f"length {min(len(word), 4)} {novel}"]
         seen += [f"{k} {' '.join(last[-k:])}" for k in (1, 2, 3, 4) if len(last) >= k]
         seen += [f"words {min(words, 12)} {lone} {above}", f"lone {lone} {above}", f"parts {sum(c in '|·>' for c in line) > 0}"]
@@ -168,17 +174,20 @@ def _train(x: list[list[int]], y: list[int], rounds: int = 6, rate: float = 0.25
 
 
 def clip_lengths(texts: DataFrame) -> dict[str, set[int]]:
-    """Lengths at which many more texts of a field end than at those around; from all rows, one count a length."""
-    sized = texts.select("tbl", F.length("text").alias("n"), F.xxhash64("text").alias("h")).where(F.col("n") <= LONGEST_LIMIT).distinct()  # copies of a text count once
-    counts = sized.groupBy("tbl", "n").count().collect()  # at most LONGEST_LIMIT a field
+    """Lengths at which many more texts of a field end than at those just below; from all rows, one count a length.
+
+    A limit has at least one in 2,000 of a field's different texts, which bounds what reaches the driver.
+    """
+    sized = texts.select("tbl", F.length("text").alias("n"), F.xxhash64("text").alias("h")).distinct()  # copies of a text count once
+    counts = stage(sized.groupBy("tbl", "n").agg(F.count("*").alias("c")), "lengths")
+    total = counts.groupBy("tbl").agg(F.sum("c").alias("total"))
+    # texts clipped at a word end are just below a limit, so those above it are its surroundings
+    above = counts.select("tbl", F.explode(F.sequence(F.col("n") - 8, F.col("n") - 1)).alias("n"), F.col("c").alias("other")).groupBy("tbl", "n").agg((F.sum("other") / 8).alias("around"))
+    j = counts.join(above, ["tbl", "n"], "left").join(total, "tbl")
+    found = j.where((F.col("c") >= F.greatest(F.lit(3), F.col("total") / 2000)) & (F.col("c") > 5 * F.coalesce("around", F.lit(0.0)) + 2) & (F.col("n") >= 20))
     out: dict[str, set[int]] = {}
-    for tbl in {r.tbl for r in counts}:
-        by = {r.n: r["count"] for r in counts if r.tbl == tbl}
-        total = sum(by.values())
-        for n, c in by.items():
-            around = sum(by.get(n + i, 0) for i in range(1, 9)) / 8  # texts clipped at a word end just below a limit
-            if c >= max(3, total / 2000) and c > 5 * around + 2 and n >= 20:
-                out.setdefault(tbl, set()).add(n)
+    for r in found.select("tbl", "n").collect():
+        out.setdefault(r.tbl, set()).add(r.n)
     return out
 
 
@@ -242,24 +251,28 @@ def _going_on(texts: DataFrame, phrases: set[str]) -> dict[str, int]:
     return {r.phrase: r.n for r in texts.select("text").mapInArrow(count, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
 
 
-def _words(texts: DataFrame) -> set[str]:
-    """Words that all intact texts have more than twice."""
+def _words(texts: DataFrame) -> np.ndarray:
+    """For each hash bucket whether its words are known: more than two in all intact texts, and one in ten million of their words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << WORD_BITS, np.int64)
         for b in batches:
-            total = Counter(w for t in b.column("text").to_pylist() if _intact(t) for w in re.findall(r"[^\W\d_]+", t.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word for r in counted.where("n > 2").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+            for w, n in Counter(w for t in b.column("text").to_pylist() if _intact(t) for w in re.findall(r"[^\W\d_]+", t.lower())).items():
+                total[_bucket(w)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = counted.toPandas()  # at most 2 ** WORD_BITS rows
+    out = np.zeros(1 << WORD_BITS, bool)
+    out[got.bucket[got.n >= max(3, got.n.sum() / 10_000_000)].to_numpy(np.int64)] = True
+    return out
 
 
-def _phrases(texts: DataFrame, inner: set[str]) -> set[str]:
-    """Complete closing phrases: those on one text in 5,000, and three, and ``inner`` ones, that seldom go on. Counted in all rows."""
-    counted = stage(_closing(texts), "closing")
-    extra = texts.sparkSession.createDataFrame([(p,) for p in sorted(inner)], "phrase string")
-    often = counted.where(F.col("n") >= max(3, texts.count() // 5000))  # bounded by 5,000 times the phrases of a text
-    closing = {r.phrase: r.n for r in often.unionByName(counted.join(extra, "phrase", "left_semi")).collect()}
+def _phrases(texts: DataFrame) -> set[str]:
+    """Complete closing phrases: those on one text in 5,000, and three, that seldom go on. Counted in all rows."""
+    often = _closing(texts).where(F.col("n") >= max(3, texts.count() // 5000))  # bounded by 5,000 times the phrases of a text
+    closing = {r.phrase: r.n for r in often.collect()}
     bare = {p: re.sub(" [\x02\x03]$", "", p) for p in closing}
     goes_on = _going_on(texts, set(bare.values()))
     return {p for p, n in closing.items() if goes_on.get(bare[p], 0) * 2 < n}
@@ -275,7 +288,7 @@ def fit(texts: DataFrame) -> tuple[Known, np.ndarray]:
         sample += [(f, r.text) for r in rows]
     intact = [(f, t) for f, t in sample if _intact(t)]
     words = _words(texts)
-    phrases = _phrases(texts, {p for _, t in sample for p in _inner_phrases(t)})
+    phrases = _phrases(texts)
     known = Known(limits, words, phrases)
     rng = np.random.default_rng(5)
     x: list[list[int]] = []

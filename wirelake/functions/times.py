@@ -7,8 +7,11 @@ the instants are joined back to the rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from wirelake.session import new_path
 
@@ -111,33 +114,56 @@ def with_instants(df: DataFrame) -> DataFrame:
     return df.select(*kept, F.when(c("_us") >= EARLIEST, c("_us")).alias("utc_us"))
 
 
+#: Parts of a dictionary that are merged into one.
+PARTS = 16
+
+
 class TimeDictionary:
     """Distinct time texts with the instants they state, kept as a table that grows with every batch of rows.
 
-    ``path`` and ``parts`` (the number of batches in it) reopen an earlier dictionary.
+    Each batch adds one part, under ``path``, that counts once the manifest lists it; ``PARTS`` parts are merged into one. A
+    path that holds an earlier dictionary reopens it.
     """
 
     KEY = ("text", "zone", "day_first")
-
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 0):
-        self.spark, self.path, self.parts = spark, path or new_path(spark, "times"), parts
-
-    def _known(self) -> DataFrame:
-        return self.spark.read.schema("text string, zone string, day_first boolean, utc_us long").parquet(*[f"{self.path}/{i}" for i in range(self.parts)])
+    SCHEMA = "text string, zone string, day_first boolean, utc_us long"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.parts, self._generation = spark, path or new_path(spark, "times"), [], 0
+        if path:
+            try:
+                rows = spark.read.schema("generation int, part string").parquet(f"{path}/manifest")
+            except AnalysisException:
+                return
+            self._generation = rows.agg(F.max("generation")).first()[0] or 0
+            self.parts = [r.part for r in rows.where(F.col("generation") == self._generation).collect()]  # at most PARTS
+
+    def known(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _commit(self, parts: list[str]) -> None:
+        self.parts, self._generation = parts, self._generation + 1
+        rows = [(self._generation, p) for p in parts]
+        self.spark.createDataFrame(rows, "generation int, part string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _write(self, rows: DataFrame) -> str:
+        part = f"{self.path}/{uuid.uuid4().hex}"
+        rows.write.parquet(part)
+        return part
 
     def add(self, rows: DataFrame) -> None:
         """Parse the texts of ``rows`` that the dictionary lacks, each once."""
         new = _keyed(rows).select(*self.KEY).where("text is not null and text != ''").distinct()
         if self.parts:
-            new = new.join(self._known(), list(self.KEY), "left_anti")
-        with_instants(new).write.parquet(f"{self.path}/{self.parts}")
-        self.parts += 1
+            new = new.join(self.known(), list(self.KEY), "left_anti")
+        self._commit([*self.parts, self._write(with_instants(new))])
+        if len(self.parts) > PARTS:
+            self._commit([self._write(self.known())])
 
     def resolve(self, rows: DataFrame) -> DataFrame:
         """``rows`` (text, zone, day_first and any other columns) with utc_us; rows that state no instant go."""
         self.add(rows)
-        stated = self._known().where("utc_us is not null")
-        return _keyed(rows).join(stated, list(self.KEY))
+        return _keyed(rows).join(self.known().where("utc_us is not null"), list(self.KEY))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

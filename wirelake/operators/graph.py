@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.session import stage
+from wirelake.session import stage, unstage
 
 
 def _star(directed: DataFrame, floor: bool) -> DataFrame:
@@ -22,7 +22,7 @@ def _star(directed: DataFrame, floor: bool) -> DataFrame:
     return out.distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root): every linked node with the smallest node of its component.
 
     Nodes may be any orderable type. Self-links and repeated links are ignored; an empty table gives an empty result.
@@ -31,14 +31,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large star keeps only neighbours above u
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        edges = stage(_star(large, floor=True), "star")
+        last, edges = edges, stage(_star(large, floor=True), "star")
+        unstage(last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,22 +11,28 @@ from wirelake.functions.times import TimeDictionary
 from wirelake.session import table
 
 
-def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tbl, id, text, zone, day_first of every record with a time text."""
-    raw = table(spark, sf_dir, "raw_items").select(F.lit("raw_items").alias("tbl"), "id", F.col("item_ts").alias("text"), "feed")
-    trend = table(spark, sf_dir, "trend_items").select(
-        F.lit("trend_items").alias("tbl"), F.col("item_no").alias("id"), F.col("item_timestamp").alias("text"), F.col("metadata")["feed"].alias("feed")
-    )
-    cleaned = table(spark, sf_dir, "cleaned_items").select(
-        F.lit("cleaned_items").alias("tbl"), F.col("item_id").alias("id"), F.col("metadata")["published_at"].alias("text"), F.col("metadata")["feed"].alias("feed")
+#: Where each table's time text and feed are, and its key.
+FIELDS = {
+    "raw_items": ("id", True, "item_ts", "feed"),
+    "trend_items": ("item_no", True, "item_timestamp", None),
+    "cleaned_items": ("item_id", False, "published_at", None),
+}
+
+
+def time_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """tbl, id, text, zone, day_first of every record of a table with a time text."""
+    key, plain, text, feed = FIELDS[name]
+    rows = table(spark, sf_dir, name).select(
+        F.lit(name).alias("tbl"), F.col(key).alias("id"), (F.col(text) if plain else F.col("metadata")[text]).alias("text"), (F.col(feed) if feed else F.col("metadata")["feed"]).alias("feed")
     )
     feeds = table(spark, sf_dir, "feeds").select("feed", F.col("zone_name").alias("zone"), "day_first").dropDuplicates(["feed"])
-    rows = raw.unionByName(trend).unionByName(cleaned).where("text is not null and text != ''")
-    return rows.join(feeds, "feed", "left").select("tbl", "id", "text", "zone", "day_first")
+    return rows.where("text is not null and text != ''").join(feeds, "feed", "left").select("tbl", "id", "text", "zone", "day_first")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TimeDictionary(spark).resolve(time_texts(spark, sf_dir)).select("tbl", "id", "utc_us")
+    """The three tables as three batches of one dictionary: a text that an earlier one had is not parsed again."""
+    known = TimeDictionary(spark)
+    return functools.reduce(DataFrame.unionByName, [known.resolve(time_texts(spark, sf_dir, t)) for t in FIELDS]).select("tbl", "id", "utc_us")
 
 
 QUERIES = {"p5_found": p5_found}

@@ -6,6 +6,7 @@ lost executor costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -54,13 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` if set, else an own temporary one (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` if set, else an own one, on local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="wirelake-")
+        atexit.register(shutil.rmtree, _OWN_DIR[app], ignore_errors=True)
     return _OWN_DIR[app]
 
 
@@ -68,9 +72,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{workdir(spark)}/wirelake/{uuid.uuid4().hex}/{name}"
 
 
+def nullable(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage and lets several consumers share one computation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return df.sparkSession.read.schema(nullable).parquet(path)
+    out = df.sparkSession.read.schema(nullable(df)).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path:
+            spark = df.sparkSession
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.session import stage
+from wirelake.session import stage, unstage
 
 
 def latest(rows: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -33,16 +33,27 @@ def evidence_groups(evidence: DataFrame, story: str) -> DataFrame:
         for link in ("outlet", "title_key"):
             linked = F.min("origin").over(Window.partitionBy(story, link))
             now = now.withColumn("origin", F.when(F.col(link).isNotNull() & (F.col(link) != ""), linked).otherwise(F.col("origin")))
-        now = stage(now, "origins")
+        last, now = out, stage(now, "origins")
+        unstage(last)
         out = now.drop("_was")
+        out._staged = now._staged
         if now.where(F.col("origin") != F.col("_was")).isEmpty():
             return out
 
 
 def strength(groups: DataFrame, story: str) -> DataFrame:
-    """Independent reports, repeats, channels, points and level of every story."""
-    by = groups.groupBy(story).agg(F.count_distinct("origin").alias("independent"), F.count("*").alias("reports"), F.count_distinct("outlet").alias("outlets"))
-    points = F.when(F.col("independent") < 2, 0).when(F.col("independent") < 4, F.col("independent")).otherwise(4) + F.when(F.col("outlets") >= 2, 1).otherwise(0)
+    """Independent reports, repeats, channels, signals, points and level of every story.
+
+    groups: story, origin, channel, signal boolean, counted boolean (a report of a known outlet), age_hours (of the story's newest
+    report). Points: 2 and 3 reports count as many, four or more 4; one more for two channels, and for a report within a day.
+    """
+    report = F.col("counted") & ~F.col("signal")
+    by = groups.groupBy(story).agg(
+        F.count_distinct(F.when(report, F.col("origin"))).alias("independent"), F.count_if(report).alias("reports"), F.count_if("signal").alias("signals"),
+        F.count_distinct(F.when(~F.col("signal"), F.col("channel"))).alias("channels"), F.min("age_hours").alias("age_hours"),
+    )
+    points = F.when(F.col("independent") < 2, 0).when(F.col("independent") < 4, F.col("independent")).otherwise(4)
+    points = points + F.when(F.col("channels") >= 2, 1).otherwise(0) + F.when(F.col("age_hours") <= 24, 1).otherwise(0)
     by = by.withColumn("points", points.cast("bigint")).withColumn("repeats", F.col("reports") - F.col("independent"))
     return by.withColumn("level", F.when(F.col("independent") < 2, "limited").when(F.col("points") >= 5, "strong").otherwise("moderate"))
 
@@ -95,3 +106,29 @@ def hold(listed: DataFrame, challengers: DataFrame, category: str, limit: int, m
 
     kind = dict(both.dtypes)
     return both.groupBy(category).applyInPandas(choose, f"{category} {kind[category]}, key {kind['key']}, score double, old boolean")
+
+
+def keep_first(stories: DataFrame, pairs: DataFrame, edition: str) -> DataFrame:
+    """Stories of each edition in rank order, without those that repeat one already kept.
+
+    stories: edition, key, rank; pairs: edition, a, b of stories of one edition that tell the same. Sequential inside an edition,
+    whose stories are few by then; a story only meets those that it repeats.
+    """
+    links = pairs.select(edition, F.col("a").alias("key"), F.col("b").alias("other")).unionByName(pairs.select(edition, F.col("b").alias("key"), F.col("a").alias("other")))
+    near = links.groupBy(edition, "key").agg(F.collect_set("other").alias("others"))
+    rows = stories.join(near, [edition, "key"], "left")
+
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rank", "key"])
+        kept: set = set()
+        take = []
+        for key, others in zip(frame["key"], frame["others"]):
+            fresh = others is None or not kept.intersection(others)
+            take.append(fresh)
+            if fresh:
+                kept.add(key)
+        out = frame[take]
+        return pd.DataFrame({edition: out[edition], "key": out["key"], "place": range(1, len(out) + 1)})
+
+    kind = dict(stories.dtypes)
+    return rows.groupBy(edition).applyInPandas(keep, f"{edition} {kind[edition]}, key {kind['key']}, place int")

@@ -26,23 +26,25 @@ def token_pairs(rows: DataFrame, key: str, tokens: str, least: int, share: float
     blocks, and each two blocks meet on their own.
     """
     rest = [c for c in rows.columns if c not in (key, tokens)]
-    each = rows.select(F.col(key).alias("k"), *rest, F.explode(F.transform(tokens, lambda t: F.xxhash64(t))).alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "token").groupBy("k", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("toks"))
-    size = F.size("toks")
-    listed = F.slice("toks", 1, F.greatest(F.lit(0), size + 1 - F.greatest(F.lit(least), F.ceil(size * share - 1e-9).cast("int"))))
-    rare = ranked.select("k", *rest, F.transform("toks", lambda t: t["token"]).alias("toks"), F.explode(F.filter(listed, lambda t: t["df"] > 1)).alias("at"))
-    rare = rare.withColumn("blocks", F.ceil(F.col("at.df") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
-    rare = rare.select("k", *rest, "toks", "at.token", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    packed = rows.select(F.col(key).alias("_k"), F.struct(F.lit(1).alias("_"), *rest).alias("_rest"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("_toks"))
+    each = packed.select("_k", "_rest", F.explode("_toks").alias("_token"))
+    df = each.groupBy("_token").agg(F.count("*").alias("_df"))
+    ranked = each.join(df, "_token").groupBy("_k").agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_toks"))  # tokens of one row
+    size = F.size("_toks")
+    listed = F.slice("_toks", 1, F.greatest(F.lit(0), size + 1 - F.greatest(F.lit(least), F.ceil(size * share - 1e-9).cast("int"))))
+    rare = ranked.select("_k", "_rest", F.transform("_toks", lambda t: t["_token"]).alias("_toks"), F.explode(F.filter(listed, lambda t: t["_df"] > 1)).alias("_at"))
+    rare = rare.withColumn("_blocks", F.ceil(F.col("_at._df") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_k"), "_blocks").cast("int"))
+    rare = rare.select("_k", "_rest", "_toks", F.col("_at._token").alias("_token"), "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # bytes say little of the pairs that a list makes
-    on = ["token", "i", "j"]
+    on = ["_token", "_i", "_j"]
     a, b = (
-        rare.select("token", F.col(i).alias("i"), F.col(j).alias("j"), F.col("k").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("toks", *rest)]).repartition(parts, *on)
-        for x, i, j in (("a", "own", "other"), ("b", "other", "own"))
+        rare.select("_token", F.col(i).alias("_i"), F.col(j).alias("_j"), F.col("_k").alias(x), F.col("_toks").alias(f"_toks_{x}"), F.col("_rest").alias(f"_rest_{x}")).repartition(parts, *on)
+        for x, i, j in (("a", "_own", "_other"), ("b", "_other", "_own"))
     )
-    both = F.filter(F.array(F.array_intersect("toks_a", "toks_b")), lambda s: (F.size(s) >= least) & (s[0] == F.col("token")))
-    met = a.hint("merge").join(b, on).where("a < b").withColumn("both", F.explode(both))
-    out = met.select("a", "b", F.size("both").cast("bigint").alias("shared"), F.size("toks_a").alias("size_a"), F.size("toks_b").alias("size_b"), *[f"{c}_{x}" for c in rest for x in "ab"])
+    both = F.filter(F.array(F.array_intersect("_toks_a", "_toks_b")), lambda s: (F.size(s) >= least) & (s[0] == F.col("_token")))
+    met = a.hint("merge").join(b, on).where("a < b").withColumn("_both", F.explode(both))
+    others = [F.col(f"_rest_{x}")[c].alias(f"{c}_{x}") for c in rest for x in "ab"]
+    out = met.select("a", "b", F.size("_both").cast("bigint").alias("shared"), F.size("_toks_a").alias("size_a"), F.size("_toks_b").alias("size_b"), *others)
     return out.where(F.col("shared") >= F.greatest("size_a", "size_b") * share - 1e-9)
 
 
@@ -117,26 +119,39 @@ def cohesive_groups(pairs: DataFrame, component: str) -> DataFrame:
 
     pairs: component, a, b, verdict (accept, neutral, reject), support, cosine. Accepted pairs are taken by falling cosine; two
     groups merge only if no pair across them is rejected and more than half of all pairs across them support the merge. A
-    component is a safe shard, since merges only follow accepted pairs. Gives component, node, group (its smallest node).
+    component is a safe shard, since merges only follow accepted pairs. Gives component, node, group (its smallest node). The merging
+    is sequential by definition, so a component is one task; counts between groups are kept, so it costs its pairs, not its square.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        facts = {(a, b): (v, s) for a, b, v, s in zip(frame.a, frame.b, frame.verdict, frame.support)}
         nodes = sorted({*frame.a, *frame.b})
-        group = {n: [n] for n in nodes}
+        members = {n: [n] for n in nodes}
         of = {n: n for n in nodes}
+        # counts of what stands between two groups, kept while they merge: (rejected, supporting)
+        between: dict = {n: {} for n in nodes}
+        for a, b, v, s in zip(frame.a, frame.b, frame.verdict, frame.support):
+            between[a][b] = between[b][a] = (int(v == "reject"), int(bool(s) or v == "accept"))
         edges = frame[frame.verdict == "accept"].sort_values(["cosine", "a", "b"], ascending=[False, True, True])
         for a, b in zip(edges.a, edges.b):
             x, y = of[a], of[b]
             if x == y:
                 continue
-            across = [facts.get((min(i, j), max(i, j)), ("neutral", False)) for i in group[x] for j in group[y]]
-            if any(v == "reject" for v, _ in across) or 2 * sum(bool(s) or v == "accept" for v, s in across) <= len(across):
+            rejected, support = between[x][y]
+            if rejected or 2 * support <= len(members[x]) * len(members[y]):
                 continue
-            keep, gone = min(x, y), max(x, y)
-            group[keep] = sorted(group[keep] + group.pop(gone))
-            of.update(dict.fromkeys(group[keep], keep))
-        return pd.DataFrame({component: frame[component].iloc[0], "node": nodes, "grp": [of[n] for n in nodes]})
+            if len(members[x]) < len(members[y]):
+                x, y = y, x
+            for n in members[y]:
+                of[n] = x
+            members[x] += members.pop(y)
+            del between[x][y]
+            for z, (r, s) in between.pop(y).items():
+                if z != x:
+                    was = between[x].get(z, (0, 0))
+                    between[x][z] = between[z][x] = (was[0] + r, was[1] + s)
+                    del between[z][y]
+        least = {g: min(m) for g, m in members.items()}
+        return pd.DataFrame({component: frame[component].iloc[0], "node": nodes, "grp": [least[of[n]] for n in nodes]})
 
     kind = dict(pairs.dtypes)
     return pairs.groupBy(component).applyInPandas(merge, f"{component} {kind[component]}, node {kind['a']}, grp {kind['a']}")

@@ -112,11 +112,62 @@ def unbroken_presence(spark, sf_dir):
     return S.islands(rows, "source", "i").select("source", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "length")
 
 
+def _grid(spark, sf_dir):
+    """For every run and channel its enabled feeds and how many of them delivered, channels that delivered nothing included."""
+    enabled = table(spark, sf_dir, "feeds").where("enabled")
+    feeds = enabled.groupBy("channel").agg(F.count("*").alias("feeds"))
+    ok = table(spark, sf_dir, "raw_items").join(enabled.select("feed", "channel"), "feed").groupBy("run_id", "channel").agg(F.count_distinct("feed").alias("ok"))
+    grid = table(spark, sf_dir, "runs").select("run_id", F.explode(F.array(*[F.lit(c.channel) for c in feeds.select("channel").collect()] or [F.lit(None).cast("string")])).alias("channel"))  # one entry a channel
+    return grid.join(feeds, "channel").join(ok, ["run_id", "channel"], "left").na.fill(0, ["ok"])
+
+
+_OUT = "ok = 0 or (feeds >= 5 and ok < 0.2 * feeds)"
+
+
 def outage_runs(spark, sf_dir):
-    """Channels of a run where fewer than a fifth of five or more enabled feeds delivered."""
-    feeds = table(spark, sf_dir, "feeds").where("enabled").groupBy("channel").agg(F.count("*").alias("feeds"))
-    ok = table(spark, sf_dir, "raw_items").join(table(spark, sf_dir, "feeds").where("enabled").select("feed", "channel"), "feed").groupBy("run_id", "channel").agg(F.count_distinct("feed").alias("ok"))
-    return ok.join(feeds, "channel").select("run_id", "channel", "ok", "feeds", ((F.col("feeds") >= 5) & (F.col("ok") < 0.2 * F.col("feeds"))).alias("outage"))
+    """Channels of a run where no feed delivered, or fewer than a fifth of five or more enabled ones."""
+    return _grid(spark, sf_dir).select("run_id", "channel", "ok", "feeds", F.expr(_OUT).alias("outage"))
+
+
+def coverage_states(spark, sf_dir):
+    """By run how many channels delivered in full, in part and not at all, and the names of the failed ones."""
+    g = _grid(spark, sf_dir)
+    return g.groupBy("run_id").agg(
+        F.count_if(F.expr("ok = feeds")).alias("full"), F.count_if(F.expr("ok > 0 and ok < feeds")).alias("partial"), F.count_if(F.expr("ok = 0")).alias("failed"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok") == 0, F.col("channel")))), ", ").alias("failed_names"),  # one entry a channel
+    )
+
+
+def failing_feeds(spark, sf_dir):
+    """Each enabled feed's failures in a row up to the newest run and since when, runs in which its channel was out left aside.
+
+    Flagged are two failures or more over three days or more.
+    """
+    runs = table(spark, sf_dir, "runs").select("run_id", "started_at")
+    enabled = table(spark, sf_dir, "feeds").where("enabled").select("feed", "channel")
+    counted = _grid(spark, sf_dir).where(f"not ({_OUT})").select("run_id", "channel").join(runs, "run_id")
+    seen = table(spark, sf_dir, "raw_items").where("feed is not null").select("feed", "run_id").distinct().withColumn("seen", F.lit(True))
+    at = enabled.join(counted, "channel").join(seen, ["feed", "run_id"], "left")
+    last = at.groupBy("feed").agg(F.max(F.when(F.col("seen"), F.col("started_at"))).alias("last_ok"), F.max("started_at").alias("newest"))
+    bad = at.where("seen is null").join(last, "feed").where("last_ok is null or started_at > last_ok")
+    out = bad.groupBy("feed").agg(F.count("*").alias("failures"), F.min("started_at").alias("since"), F.max("newest").alias("newest"))
+    return out.select("feed", "failures", "since", ((F.col("failures") >= 2) & (F.col("newest") - F.col("since") >= 3 * 86400)).alias("failing"))
+
+
+def retention_cascade(spark, sf_dir):
+    """What retention would delete with each dropped run: its items and the urls that no kept run has."""
+    raw = table(spark, sf_dir, "raw_items").select("run_id", "url")
+    kept = retained_runs(spark, sf_dir).select("run_id")
+    gone = raw.join(kept, "run_id", "left_anti")
+    only = gone.where("url is not null").select("run_id", "url").distinct().join(raw.join(kept, "run_id").select("url").distinct(), "url", "left_anti")
+    return gone.groupBy("run_id").agg(F.count("*").alias("items")).join(only.groupBy("run_id").agg(F.count("*").alias("last_urls")), "run_id", "left").na.fill(0, ["last_urls"])
+
+
+def run_checks(spark, sf_dir):
+    """Runs that break a rule of their life: ended without an end or before their start, more clusters or filtered items than items."""
+    r = table(spark, sf_dir, "runs")
+    rules = {"ended_without_end": "status != 'unknown' and finished_at is null", "ends_before_start": "finished_at < started_at", "more_filtered_than_ingested": "filtered > ingested", "more_clusters_than_kept": "cluster_count > ingested - filtered", "no_length": "finished_at is not null and exec_seconds is null"}
+    return r.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(F.expr(e), F.lit(False)).alias("broken")) for k, e in rules.items()]))).groupBy("rule").agg(F.count("*").alias("runs"), F.count_if("broken").alias("broken"))
 
 
 def backoff(spark, sf_dir):
@@ -129,13 +180,14 @@ def backoff(spark, sf_dir):
     return n.select("run_id", F.col("n").cast("bigint").alias("failures"), F.when(F.col("n") > 0, F.least(F.lit(360.0), 30 * F.pow(F.lit(2.0), F.col("n") - 1))).otherwise(0.0).alias("minutes"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_reference_run, run_lifecycle, cluster_history, retained_runs, comparable_sources, source_balanced_momentum, entity_snapshot_upsert, source_health, coverage_block, feed_failure_streak, unbroken_presence, outage_runs, backoff)}
+QUERIES = {f.__name__: f for f in (nearest_reference_run, run_lifecycle, cluster_history, retained_runs, comparable_sources, source_balanced_momentum, entity_snapshot_upsert, source_health, coverage_block, feed_failure_streak, unbroken_presence, outage_runs, coverage_states, failing_feeds, retention_cascade, run_checks, backoff)}
 
 _W = ", ".join(f"({h}::double, {w}::double)" for h, w in WINDOWS.items())
 _REFS = f"""v as (select run_id, started_at s from runs where status = 'valid' and finished_at is not null), w(hours, weight) as (values {_W}),
   c as (select a.run_id, hours, b.run_id ref_id, abs(b.s - (a.s - hours * 3600)) off from v a, w, v b where b.run_id != a.run_id and abs(b.s - (a.s - hours * 3600)) <= hours * 1800),
   c1 as (select *, row_number() over (partition by run_id, hours order by off, ref_id) r1 from c), c2 as (select * from c1 where r1 = 1),
   refs as (select run_id, hours, ref_id, off from (select *, row_number() over (partition by run_id, ref_id order by hours) r2 from c2) where r2 = 1)"""
+_GRID = "f as (select channel, count(*) feeds from feeds where enabled group by channel), k as (select run_id, channel, count(distinct feed) ok from raw_items join (select feed, channel from feeds where enabled) using (feed) group by all), g as (select r.run_id, f.channel, coalesce(ok, 0) ok, feeds from runs r cross join f left join k on k.run_id = r.run_id and k.channel = f.channel)"
 _ORDER = "o as (select run_id, row_number() over (order by started_at, run_id) i from runs)"
 SQL = {
     "nearest_reference_run": f"with {_REFS} select run_id, hours, ref_id, round(off, 3) off from refs",
@@ -154,6 +206,10 @@ SQL = {
     "coverage_block": "select run_id, count(*) sources, sum(feeds)::bigint feeds, round(max(n) / sum(n), 6) largest, round(max(n) / sum(n), 6) <= 0.9 balanced from (select run_id, source, count(*) n, count(distinct feed) feeds from raw_items group by all) group by run_id",
     "feed_failure_streak": f"with {_ORDER}, s as (select distinct feed, run_id from raw_items where feed is not null), g as (select feed, i, i - lag(i, 1, 0) over (partition by feed order by i) - 1 gap from s join o using (run_id)), n as (select max(i) n from o) select feed, greatest(max(gap), any_value(n) - max(i))::bigint longest, any_value(n) - max(i) >= 2 failing from g, n group by feed",
     "unbroken_presence": f"with {_ORDER}, s as (select distinct source, i from raw_items join o using (run_id)), g as (select source, i, i - row_number() over (partition by source order by i) k from s) select source, min(i)::bigint \"first\", max(i)::bigint \"last\", count(*) length from g group by source, k",
-    "outage_runs": "with f as (select channel, count(*) feeds from feeds where enabled group by channel), k as (select run_id, channel, count(distinct feed) ok from raw_items join (select feed, channel from feeds where enabled) using (feed) group by all) select run_id, channel, ok, feeds, feeds >= 5 and ok < 0.2 * feeds outage from k join f using (channel)",
+    "coverage_states": f"with {_GRID} select run_id, count(*) filter (ok = feeds) \"full\", count(*) filter (ok > 0 and ok < feeds) partial, count(*) filter (ok = 0) failed, coalesce(string_agg(channel, ', ' order by channel) filter (ok = 0), '') failed_names from g group by run_id",
+    "failing_feeds": f"with {_GRID}, c as (select run_id, channel, started_at from g join runs using (run_id) where not ({_OUT})), s as (select distinct feed, run_id from raw_items where feed is not null), t as (select f.feed, c.started_at, s.feed is not null seen from feeds f join c using (channel) left join s on s.feed = f.feed and s.run_id = c.run_id where f.enabled), l as (select feed, max(started_at) filter (seen) last_ok, max(started_at) newest from t group by feed) select t.feed, count(*) failures, min(started_at) since, count(*) >= 2 and max(newest) - min(started_at) >= 3 * 86400 failing from t join l on l.feed = t.feed where not seen and (last_ok is null or started_at > last_ok) group by t.feed",
+    "retention_cascade": "with k as (select run_id from runs where started_at >= (select max(started_at) - 120 * 86400 from runs) or started_at = (select max(started_at) from runs where status = 'valid')), gone as (select * from raw_items where run_id not in (from k)), o as (select run_id, count(distinct url) n from gone where url is not null and url not in (select url from raw_items where url is not null and run_id in (from k)) group by run_id) select g.run_id, count(*) items, coalesce(any_value(o.n), 0) last_urls from gone g left join o on o.run_id = g.run_id group by g.run_id",
+    "run_checks": "with c as (select unnest([{'r': 'ended_without_end', 'b': status != 'unknown' and finished_at is null}, {'r': 'ends_before_start', 'b': finished_at < started_at}, {'r': 'more_filtered_than_ingested', 'b': filtered > ingested}, {'r': 'more_clusters_than_kept', 'b': cluster_count > ingested - filtered}, {'r': 'no_length', 'b': finished_at is not null and exec_seconds is null}]) x from runs) select x.r \"rule\", count(*) runs, count(*) filter (coalesce(x.b, false)) broken from c group by 1",
+    "outage_runs": f"with {_GRID} select run_id, channel, ok, feeds, {_OUT} outage from g",
     "backoff": "with a as (select run_id, status != 'valid' bad, row_number() over w i, started_at from runs window w as (order by started_at, run_id)), b as (select run_id, i - coalesce(max(case when not bad then i end) over (order by i), 0) n from a) select run_id, n::bigint failures, case when n > 0 then least(360.0::double, 30 * pow(2.0::double, n - 1)) else 0.0::double end \"minutes\" from b",
 }

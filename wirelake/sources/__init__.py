@@ -1 +1 @@
-
+"""Where items come from and where tables go: payload readers (``payloads``) and stores (``store``)."""

@@ -405,4 +405,3 @@ def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_main_text": p3_main_text}
-SQL: dict[str, str] = {}

@@ -315,4 +315,3 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}

@@ -122,4 +122,3 @@ def p9_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leak_report": p9_leak_report}
-SQL: dict[str, str] = {}

@@ -168,4 +168,3 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes}
-SQL: dict[str, str] = {}

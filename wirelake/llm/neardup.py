@@ -331,4 +331,3 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}

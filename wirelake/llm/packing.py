@@ -168,4 +168,3 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_containers": p8_containers}
-SQL: dict[str, str] = {}

@@ -351,4 +351,3 @@ def p6_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_source_rates": p6_source_rates}
-SQL: dict[str, str] = {}

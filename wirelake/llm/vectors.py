@@ -325,4 +325,3 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found}
-SQL: dict[str, str] = {}

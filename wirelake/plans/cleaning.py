@@ -10,7 +10,7 @@ from wirelake.functions import sql as Q
 from wirelake.functions import text as X
 from wirelake.operators import clean as C
 from wirelake.operators import pairs as P
-from wirelake.session import stage, table
+from wirelake.session import spread, stage, table
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.judge(raw(spark, sf_dir))
+    return C.judge(spread(raw(spark, sf_dir)))
 
 
 def survivors(spark, sf_dir):
@@ -32,7 +32,7 @@ def clean_ledger(spark, sf_dir):
 
 def trend_discards(spark, sf_dir):
     """The rules on trend items, with descriptions and ranks."""
-    items = table(spark, sf_dir, "trend_items").withColumn("rank", F.col("metadata")["rank"].try_cast("int"))
+    items = spread(table(spark, sf_dir, "trend_items")).withColumn("rank", F.col("metadata")["rank"].try_cast("int"))
     return C.judge(items).select("item_no", "reason")
 
 
@@ -53,7 +53,7 @@ def ledger_balance(spark, sf_dir):
 
 
 def normalized_titles(spark, sf_dir):
-    return raw(spark, sf_dir).select("id", X.normalize(F.col("title")).alias("title"), X.clean_title(F.col("source"), F.col("title")).alias("clean"))
+    return spread(raw(spark, sf_dir).select("id", "source", "title")).select("id", X.normalize(F.col("title")).alias("title"), X.clean_title(F.col("source"), F.col("title")).alias("clean"))
 
 
 def dedupe_exact_fold(spark, sf_dir):

@@ -9,19 +9,19 @@ from wirelake.functions import sql as Q
 from wirelake.functions import text as X
 from wirelake.operators import pairs as P
 from wirelake.operators import search as S
-from wirelake.session import table
+from wirelake.session import spread, stage, table
 
 QUERY_SET = ("council", "wins contract", '"digital harbour"', "réacteur", "proj minist", "the")
 TOPICS = ["harbour", "stadium", "merger", "peace treaty", "Réacteur", "shares fall"]
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "cleaned_items").select("item_id", "title", F.concat_ws(" ", "description", "context").alias("body"), "item_time", (F.col("heuristic_score") >= 0.6).alias("top"))
+    return spread(table(spark, sf_dir, "cleaned_items").select("item_id", "title", "description", "context", "item_time", "heuristic_score")).select("item_id", "title", F.concat_ws(" ", "description", "context").alias("body"), "item_time", (F.col("heuristic_score") >= 0.6).alias("top"))
 
 
 def archive_search(spark, sf_dir):
     """What a set of queries finds, best first; newer items win ties."""
-    docs, out = _docs(spark, sf_dir), None
+    docs, out = stage(_docs(spark, sf_dir), "docs"), None
     for q in QUERY_SET:
         hits = S.search(docs, q, "title", "body", F.col("top")).orderBy(F.desc("score"), F.desc("item_time"), "item_id").limit(50).select(F.lit(q).alias("query"), "item_id", "score")
         out = hits if out is None else out.unionByName(hits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wirelake.functions import fixed as V
 from wirelake.functions import sql as Q
 from wirelake.functions import text as X
-from wirelake.session import table
+from wirelake.session import spread, table
 from wirelake.sources.payloads import publication_time
 
 #: Other names of categories, and what a name contains where no alias fits: parameters.
@@ -20,7 +20,7 @@ ZONE = "America/Chicago"
 
 
 def _trend(spark, sf_dir):
-    return table(spark, sf_dir, "trend_items")
+    return spread(table(spark, sf_dir, "trend_items"))
 
 
 def sentence_split(spark, sf_dir):
@@ -83,7 +83,7 @@ def language_share(spark, sf_dir):
     """Share of function words among a document's tokens by language: what tells English from the others."""
     toks = X.tokens(F.col("text"))
     stop = F.array(*[F.lit(w) for w in V.STOPWORDS])
-    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), toks.alias("w")).select("lang", F.size("w").alias("n"), F.size(F.filter("w", lambda x: F.array_contains(stop, x))).alias("s"))
+    rows = spread(table(spark, sf_dir, "documents").select("lang", "text")).select(F.coalesce("lang", F.lit("?")).alias("lang"), toks.alias("w")).select("lang", F.size("w").alias("n"), F.size(F.filter("w", lambda x: F.array_contains(stop, x))).alias("s"))
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").cast("bigint").alias("words"), F.count_if(F.col("s") >= 0.2 * F.col("n")).alias("english"))
 
 

@@ -54,6 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer partitions than there are cores, dealt out to all cores: for scans that feed costly expressions.
+
+    A table of many files stays as it is; only small ones, which one task would work through alone, are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def workdir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` if set, else an own one, on local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -19,8 +19,9 @@ def judge(items: DataFrame) -> DataFrame:
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
     c = F.col
-    items = items.withColumn("clean", X.clean_title(c("source"), c("title"))).withColumn("alnum", F.regexp_replace("clean", r"[^A-Za-z0-9]", ""))
-    bare = F.replace(F.regexp_replace(F.lower(X.normalize(c("title"))), r"^#+", ""), F.lit(" "), F.lit(""))
+    items = X.pinned(items.drop("clean", "reason"), clean=X.clean_title(c("source"), c("title"))).withColumn("alnum", F.regexp_replace("clean", r"[^A-Za-z0-9]", ""))
+    tag = F.when(c("source").isin(V.TAG_SOURCES), c("title"))
+    bare = F.replace(F.regexp_replace(F.lower(X.normalize(tag)), r"^#+", ""), F.lit(" "), F.lit(""))
     score, n = F.coalesce("raw_score", F.lit(0.0)), F.coalesce("comment_count", F.lit(0))
     social = c("source").isin(V.SOCIAL_SOURCES)
     reason = (
@@ -38,7 +39,7 @@ def judge(items: DataFrame) -> DataFrame:
         .when((c("source") == "youtube") & c("title").rlike(V.VIDEO_CLIP), "video_clip")
         .when(social & (F.size(X.significant_tokens(c("clean"))) == 0) & ~c("clean").rlike("[A-Z]"), "no_signal_tokens")
     )
-    return items.withColumn("reason", reason).drop("alnum")
+    return X.pinned(items, reason=reason).drop("alnum")
 
 
 def fold_exact(items: DataFrame, key: str, order: str, best: str) -> DataFrame:

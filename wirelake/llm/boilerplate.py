@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.session import stage, table
+from wirelake.session import spread, stage, table
 
 #: A pattern of fewer words than ``LONG`` is furniture on this share of all pages or of one site's, a longer one on ``STORIES`` pages.
 SHARE, SITE_SHARE, STORIES, LONG = 0.0015, 0.03, 3, 6
@@ -297,7 +297,7 @@ def render(text: str, publisher: str | None, known: Known) -> str:
 
 def _pages(pages: DataFrame) -> DataFrame:
     kept = pages.where("text is not null and text != ''").select("page", "site", "publisher", "text")
-    return stage(kept.withColumn("row", F.monotonically_increasing_id()), "pages")
+    return stage(spread(kept).withColumn("row", F.monotonically_increasing_id()), "pages")
 
 
 def _line_keys(pages: DataFrame) -> DataFrame:

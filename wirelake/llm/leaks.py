@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelake.llm.lookalike import plain_text
-from wirelake.session import table
+from wirelake.session import spread, table
 
 #: Consecutive words that make a leak.
 WINDOW = 12
@@ -107,7 +107,7 @@ def _search(documents: DataFrame, search, item_type: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array(items)], names=["doc_id", "item_id"])
 
-    texts = documents.where("text is not null and text != ''").select("doc_id", "text")
+    texts = spread(documents.where("text is not null and text != ''").select("doc_id", "text"))
     return texts.mapInArrow(scan, f"doc_id {dict(texts.dtypes)['doc_id']}, item_id {item_type}")
 
 

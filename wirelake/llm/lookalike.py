@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelake.session import table
+from wirelake.session import spread, table
 
 # Letters that look like a Latin letter, and that letter.
 LOOKALIKES = {
@@ -156,7 +156,7 @@ def titles_and_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, id, text of the two tables that problems 2 and 7 look at."""
     raw = table(spark, sf_dir, "raw_items").select(F.lit("raw_items").alias("tbl"), F.col("id"), F.col("title").alias("text"))
     trend = table(spark, sf_dir, "trend_items").select(F.lit("trend_items").alias("tbl"), F.col("item_no").alias("id"), F.col("description").alias("text"))
-    return raw.unionByName(trend)
+    return spread(raw.unionByName(trend))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirelake.session import stage, table
+from wirelake.session import spread, stage, table
 
 CAPACITY = 2048
 #: A public vocabulary as base64 pieces and ranks; any file of the kind will do.
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = pa.array([len(encode(t.as_py() or "")) for t in b.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n], names=["doc_id", "n_tokens"])
 
-    texts = documents.select("doc_id", "text")
+    texts = spread(documents.select("doc_id", "text"))
     return texts.mapInArrow(count, f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.session import stage, table
+from wirelake.session import spread, stage, table
 
 #: Rows of a field that the classifier is fitted on, at most.
 SAMPLE = 6000
@@ -321,7 +321,7 @@ def truncated(texts: DataFrame) -> DataFrame:
     texts: tbl, id, source, text; other columns are ignored. Null and empty texts give no row; a repeated row gives its row
     again; with no intact text to learn from the chance is 0.5.
     """
-    texts = texts.where("text is not null and trim(text) != ''").select("tbl", "id", "source", "text")
+    texts = spread(texts.where("text is not null and trim(text) != ''").select("tbl", "id", "source", "text"))
     known, weights = fit(texts)
     shared = texts.sparkSession.sparkContext.broadcast((known, weights.astype(np.float32)))
 

@@ -30,12 +30,12 @@ from pyspark.sql.utils import AnalysisException
 
 from wirelake.llm.lookalike import plain
 from wirelake.llm.neardup import BUCKETS, STEP, _bucket, bags, missing_bound, with_bits
-from wirelake.session import new_path, stage, table
+from wirelake.session import new_path, spread, stage, table
 
 #: Ranges of a store's hash keys, cut evenly.
 RANGES = 16
 #: Runs of one level that are merged into one of the next.
-TIER = 4
+TIER = 3
 
 
 SCHEMAS = {
@@ -194,7 +194,7 @@ class History:
         hashes = self._read("hashes", [(run, 0)]).select("h1", "h2", "start")
         if self.runs:
             asked = rows.where("h1 is not null").select("h1", "h2").distinct()
-            hashes = hashes.unionByName(self._touched("hashes", asked, "h1").select("h1", "h2", "start").join(asked, ["h1", "h2"], "left_semi"))
+            hashes = hashes.unionByName(self._read("hashes").select("h1", "h2", "start").join(asked, ["h1", "h2"], "left_semi"))
         hash_seen = hashes.groupBy("h1", "h2").agg(F.min("start").alias("hash_seen"))
         out = rows.drop("bag", "valid").join(seen, ["k1", "k2"], "left").drop("k1", "k2").join(hash_seen, ["h1", "h2"], "left").drop("h1", "h2")
         before = F.least("text_seen", "hash_seen")
@@ -207,9 +207,9 @@ class History:
         self._settle()
         return found
 
-    def _touched(self, kind: str, asked: DataFrame, key: str) -> DataFrame:
-        """The old entries of a kind in the ranges that the asked keys fall into; the other ranges are not read."""
-        wanted = [r[0] for r in asked.select(key_range(key)).distinct().collect()]  # at most RANGES
+    def _touched(self, kind: str, asked: Column, of: DataFrame) -> DataFrame:
+        """The old entries of a kind in the ranges that ``asked`` falls into; the other ranges are not read."""
+        wanted = [r[0] for r in of.select(asked).distinct().collect()]  # at most RANGES
         return self._read(kind).where(F.col("rng").isin(wanted))
 
     def _text_seen(self, mine: DataFrame, new: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ class History:
         cols = ["key", "k1", "k2", "start", "n"]
         around = new.select(*cols).where("start is not null")
         if self.runs:
-            around = around.unionByName(self._touched("keys", new, "key").select(*cols).where("start is not null"))
+            around = around.unionByName(self._touched("keys", F.col("rng"), new).select(*cols).where("start is not null"))
         around = around.select("key", F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("start").alias("near"), F.col("n").alias("o_n"))
         # neighbours matter only if they are earlier than the text itself
         window = new.join(around, "key").where(
@@ -230,9 +230,9 @@ class History:
         firsts = mine.select("k1", "k2", F.col("start").alias("seen"))
         if self.runs:
             asked = pairs.select("o1", "o2").distinct()
-            old = self._touched("texts", asked, "o1").select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("bits").alias("o_bits"))
+            old = self._touched("texts", key_range("o1"), asked).select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("bits").alias("o_bits"))
             other = other.unionByName(old.join(asked, ["o1", "o2"], "left_semi")).dropDuplicates(["o1", "o2"])
-            equal = self._touched("texts", mine, "k1").select("k1", "k2", F.col("start").alias("seen"))
+            equal = self._touched("texts", F.col("rng"), mine).select("k1", "k2", F.col("start").alias("seen"))
             firsts = firsts.unionByName(equal.join(mine.select("k1", "k2"), ["k1", "k2"], "left_semi"))
         both = pairs.join(mine.select("k1", "k2", "bits"), ["k1", "k2"]).join(other, ["o1", "o2"])
         near = both.where(F.size(F.array_intersect("bits", "o_bits")) * 100 >= F.greatest(F.size("bits"), F.size("o_bits")) * 80)
@@ -287,8 +287,9 @@ class History:
 def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of raw_items as a batch for ``History.ingest``."""
     runs = table(spark, sf_dir, "runs").select("run_id", F.col("started_at").alias("start"), (F.col("status") == "valid").alias("valid"))
-    raw = table(spark, sf_dir, "raw_items").select("id", "run_id", "title", "url", "content_hash")
-    key = F.when(F.col("url").isNotNull(), report_url(F.col("url"))).otherwise(report_title(F.col("title")))
+    raw = spread(table(spark, sf_dir, "raw_items").select("id", "run_id", "title", "url", "content_hash"))
+    bare = F.when(F.col("url").isNull(), F.col("title"))  # only these titles are put into their consistent form
+    key = F.when(F.col("url").isNotNull(), report_url(F.col("url"))).otherwise(report_title(bare))
     return raw.join(runs, "run_id").select("id", "start", "valid", F.lower("content_hash").alias("hash"), "title", key.alias("report_key"))
 
 
@@ -299,7 +300,7 @@ def listed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Batches in which p1_found brings the runs in: enough for one compaction and a batch after it.
-BATCHES = 5
+BATCHES = 4
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

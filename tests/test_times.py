@@ -43,7 +43,7 @@ def test_dictionary_grows_merges_and_reopens(spark, tmp_path, monkeypatch):
     batches = [[(1, "2026-03-01T10:00:00Z"), (2, "no time")], [(3, "2026-03-01T10:00:00Z"), (4, "2026-03-02T10:00:00Z")], [(5, "2026-03-03T10:00:00Z")], []]
     found = []
     for b in batches:
-        rows = spark.createDataFrame(b, "id long, text string").selectExpr("*", "null as zone", "null as day_first", "'x' as _t")
+        rows = spark.createDataFrame(b, "id long, text string").selectExpr("*", "null as zone", "null as day_first", "'x' as _t", "7L as utc_us")
         rows = rows.withColumns({"zone": rows.zone.cast("string"), "day_first": rows.day_first.cast("boolean")})
         known = times.TimeDictionary(spark, path)
         found += [(r.id, r.utc_us) for r in known.resolve(rows).collect()]

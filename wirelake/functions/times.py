@@ -161,9 +161,12 @@ class TimeDictionary:
             self._commit([self._write(self.known())])
 
     def resolve(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (text, zone, day_first and any other columns) with utc_us; rows that state no instant go."""
+        """``rows`` (text, zone, day_first and any other columns) with utc_us; rows that state no instant go.
+
+        Null and empty texts state none; a repeated row comes back as often; a column utc_us that rows bring is replaced.
+        """
         self.add(rows)
-        return _keyed(rows).join(self.known().where("utc_us is not null"), list(self.KEY))
+        return _keyed(rows.drop("utc_us")).join(self.known().where("utc_us is not null"), list(self.KEY))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

@@ -109,3 +109,59 @@ def test_vector_search_is_exact(spark):
     sims = u @ u.T
     np.fill_diagonal(sims, -2)
     assert got == {(q, int(o)) for q in range(0, 200, 50) for o in np.argsort(-sims[q])[:4]}
+
+@pytest.mark.parametrize("tile", [4096, 6])
+def test_near_pairs_are_decided_as_by_the_column(spark, monkeypatch, tmp_path, tile):
+    """Random titles over days, one without a time, against ``identity.decide`` on all pairs; the counts come out the same."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wirelake.operators import nearby as N
+
+    monkeypatch.setattr(N, "TILE", tile)
+    monkeypatch.setattr(P, "FREQUENT", 5)
+    rng = random.Random(4)
+    words = "storm Harbour wall Miller launch outage attack strike physics chemistry resign not january monday Olson before will talks".split()
+    rows = [(i, " ".join(rng.sample(words, rng.randint(2, 7))) + (" news wrap" if i % 9 == 0 else ""), None if i == 7 else AT + dt.timedelta(hours=rng.randint(0, 400)), "Tech") for i in range(60)]
+    spark.createDataFrame(rows, "item_id long, title string, item_time timestamp, inferred_category string").write.parquet(f"{tmp_path}/cleaned_items.parquet")
+    f = pairing._reports(spark, str(tmp_path))
+    x, y = (f.select(*[F.col(c).alias(f"{c}_{s}") for c in I.FEATURES], F.col("item_id").alias(s)) for s in "ab")
+    every = I.decide(x.join(y.toDF(*y.columns), F.expr("a < b and size(array_intersect(toks_a, toks_b)) >= 2"))).select("a", "b", "verdict", "reason", "support", "shared", "jaccard").collect()
+    want = {(r.a, r.b): (r.verdict, r.reason, r.support, r.shared) for r in every if r.reason not in ("multi-story roundup", "reports far apart")}
+    near = pairing._near(f, lambda d: d, "a long, b long, code int, support boolean, n long, union long").withColumn("r", F.concat_ws(":", N.verdict(F.col("code")), N.reason(F.col("code")))).collect()
+    assert {(r.a, r.b): (*r.r.split(":"), r.support, r.n) for r in near} == want and len(near) == len(want) > 50
+    counts = {(r.verdict, r.reason): r.pairs for r in pairing.reason_counts(spark, str(tmp_path)).collect()}
+    assert counts == {k: sum((r.verdict, r.reason) == k for r in every) for k in {(r.verdict, r.reason) for r in every}}
+    ends = [(i, r.verdict, r.reason) for r in every for i in (r.a, r.b)]
+    assert {(r.item_id, r.verdict, r.reason): r.pairs for r in pairing.pair_decisions(spark, str(tmp_path)).collect()} == {k: ends.count(k) for k in set(ends)}
+
+
+def test_the_log_holds_far_pairs_if_few_are_accepted(spark, monkeypatch, tmp_path):
+    _items(spark, tmp_path, ["Storm hits Avon harbour wall", "Storm hits Avon harbour wall again", "Talks on the harbour wall", "Storm hits Avon bridge"])
+    whole = [tuple(r) for r in pairing.pair_log(spark, str(tmp_path)).collect()]
+    assert len(whole) >= 4
+    monkeypatch.setattr(pairing, "LOGGED", 2)
+    assert [tuple(r) for r in pairing.pair_log(spark, str(tmp_path)).collect()] == whole[:2]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_story_groups_are_those_of_all_pairs(spark, tmp_path, seed):
+    """Titles over weeks: far pairs that share two words part groups though they aren't listed."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(seed)
+    words = "storm harbour wall bridge canal tunnel ferry pier quay mast".split()
+    rows = [(i, " ".join(rng.sample(words, rng.randint(3, 5))), None if i == 7 else AT + dt.timedelta(hours=rng.randint(0, 200)), "Tech") for i in range(60)]
+    spark.createDataFrame(rows, "item_id long, title string, item_time timestamp, inferred_category string").write.parquet(f"{tmp_path}/cleaned_items.parquet")
+    f = pairing._reports(spark, str(tmp_path))
+    x, y = (f.select(*[F.col(c).alias(f"{c}_{s}") for c in I.FEATURES], F.col("item_id").alias(s)) for s in "ab")
+    every = I.decide(x.join(y.toDF(*y.columns), F.expr("a < b and size(array_intersect(toks_a, toks_b)) >= 2"))).select("a", "b", "verdict", "reason", "support", "jaccard").collect()
+    facts = {(r.a, r.b): (r.verdict, r.support, r.jaccard) for r in every}
+    nodes = sorted({n for p, v in facts.items() if v[0] == "accept" for n in p})
+    facts = {p: v for p, v in facts.items() if p[0] in nodes and p[1] in nodes}
+    want = brute_groups(nodes, facts)
+    assert {(r.node, r.grp) for r in pairing.cohesive_story_groups(spark, str(tmp_path)).collect()} == want
+    assert want != brute_groups(nodes, {p: v for p, v in facts.items() if (*p, "reports far apart") not in {(r.a, r.b, r.reason) for r in every}})

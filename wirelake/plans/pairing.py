@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from wirelake.functions import fixed as V
 from wirelake.functions import sql as Q
 from wirelake.functions import text as X
 from wirelake.operators import identity as I
+from wirelake.operators import nearby as N
 from wirelake.operators import pairs as P
 from wirelake.operators.graph import components
-from wirelake.session import stage, table
+from wirelake.session import spread, stage, table
 
 
 def _titles(spark, sf_dir) -> DataFrame:
@@ -32,33 +35,108 @@ def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(classes, ["k", "toks"]).join(ends, "class_id", "left").select("item_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def decided_pairs(spark, sf_dir) -> DataFrame:
-    """The decision on every pair of items that share two words."""
+def _reports(spark, sf_dir) -> DataFrame:
+    """What pairs of items are decided by."""
     items = table(spark, sf_dir, "cleaned_items").select("item_id", "title", F.unix_timestamp("item_time").alias("time"), F.to_date("item_time").alias("day"))
-    f = stage(I.features(items).drop("title"), "features")
+    f = stage(I.features(spread(items)).drop("title"), "features")
     tok = f.select(F.explode("toks").alias("token"))
     cap = f.agg(F.greatest(F.lit(4).cast("bigint"), F.floor(F.count("*") * F.lit(0.06))).alias("cap"))
     rare = tok.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(cap)).where("df <= cap").select("token")
     mine = f.select("item_id", F.explode("toks").alias("token")).join(rare, "token").groupBy("item_id").agg(F.collect_set("token").alias("rare"))  # tokens of one title
-    f = f.join(mine, "item_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
-    pairs = P.token_pairs(f.withColumn("words", F.col("toks")), "item_id", "words", 2)
-    return I.decide(pairs.drop("shared", "size_a", "size_b").select("a", "b", *[f"{c}_{x}" for c in I.FEATURES for x in "ab"]))
+    return stage(f.join(mine, "item_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>"))).where(F.size("toks") >= 2), "reports")
+
+
+def _near(reports: DataFrame, give, schema: str) -> DataFrame:
+    """What ``give`` makes of the decided pairs of items of one story each, not far apart: all pairs but those of ``_excluded``."""
+    return N.near_pairs(N.coded(reports.where("not roundup"), "item_id"), I.FAR_HOURS * 3600, give, schema)
+
+
+def _excluded(reports: DataFrame) -> DataFrame:
+    """(item_id, roundup, roundups, single): the pairs of each item that share two words, with a roundup on a side and without one."""
+    n = P.partner_counts(reports, "item_id", "toks", "roundup")
+    return n.select("item_id", "roundup", F.when(F.col("roundup"), F.col("others")).otherwise(F.col("flagged")).alias("roundups"), F.when(F.col("roundup"), 0).otherwise(F.col("others") - F.col("flagged")).alias("single"))
 
 
 def pair_decisions(spark, sf_dir):
-    """For every item how many of its pairs are accepted, rejected or left open, by reason."""
-    d = decided_pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("item_id"), "verdict", "reason")
-    return d.groupBy("item_id", "verdict", "reason").agg(F.count("*").alias("pairs"))
+    """For every item how many of its pairs are accepted, rejected or left open, by reason.
+
+    Pairs that share two words are decided one by one within the hours only; roundups and far pairs are counted.
+    """
+    f = _reports(spark, sf_dir)
+
+    def count(d: pd.DataFrame) -> pd.DataFrame:
+        ends = pd.DataFrame({"item_id": np.concatenate([d.a, d.b]), "code": np.concatenate([d.code, d.code])})
+        return ends.groupby(["item_id", "code"]).size().reset_index(name="pairs")
+
+    near = _near(f, count, f"item_id {dict(f.dtypes)['item_id']}, code int, pairs long").groupBy("item_id", "code").agg(F.sum("pairs").alias("pairs"))
+    near = stage(near, "near_counts")
+    n = stage(_excluded(f), "partner_counts")
+    far = n.join(near.groupBy("item_id").agg(F.sum("pairs").alias("near")), "item_id", "left").select("item_id", (F.col("single") - F.coalesce("near", F.lit(0))).alias("pairs"))
+    return near.select("item_id", N.verdict(F.col("code")).alias("verdict"), N.reason(F.col("code")).alias("reason"), "pairs").unionByName(
+        _rejected(far, "reports far apart", "item_id")).unionByName(_rejected(n.withColumn("pairs", F.col("roundups")), "multi-story roundup", "item_id"))
+
+
+def _rejected(counts: DataFrame, reason: str, *keys: str) -> DataFrame:
+    return counts.where("pairs > 0").select(*keys, F.lit("reject").alias("verdict"), F.lit(reason).alias("reason"), F.col("pairs").cast("bigint").alias("pairs"))
+
+
+#: Pairs of the decision log.
+LOGGED = 4000
 
 
 def pair_log(spark, sf_dir):
-    """The decision log: at most 4,000 pairs, accepted ones first, then rejected, then neutral; roundups last."""
+    """The decision log: at most 4,000 pairs, accepted ones first, then rejected, then neutral; roundups last.
+
+    Accepted pairs are near ones, and of each block only its first 4,000 can be among them. If they don't fill the log, far pairs are
+    listed too, those of many shared words first; all pairs are listed only if the log isn't full otherwise.
+    """
+    f = _reports(spark, sf_dir)
+    kind = dict(f.dtypes)["item_id"]
+
+    def best(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.assign(rank=N.RANKS[d.code.to_numpy()], size=-((2_000_000 * d.n + d.union) // (2 * d.union)), few=-d.n)  # jaccard to 6 decimals
+        return d.sort_values(["rank", "few", "size", "a", "b"]).head(LOGGED)[["a", "b", "code", "n", "union"]]
+
+    near = stage(_near(f, best, f"a {kind}, b {kind}, code int, n long, union long"), "near_log")
+    near = near.select("a", "b", N.verdict(F.col("code")).alias("verdict"), N.reason(F.col("code")).alias("reason"), F.col("n").alias("shared"), F.round(F.col("n") / F.col("union"), 6).alias("jaccard"))
     rank = F.when(F.col("reason") == "multi-story roundup", 3).when(F.col("verdict") == "accept", 0).when(F.col("verdict") == "reject", 1).otherwise(2)
-    return decided_pairs(spark, sf_dir).orderBy(rank, F.desc("shared"), F.desc("jaccard"), "a", "b").limit(4000).select("a", "b", "verdict", "reason", "shared", "jaccard")
+
+    def first(d: DataFrame) -> DataFrame:
+        return d.orderBy(rank, F.desc("shared"), F.desc("jaccard"), "a", "b").limit(LOGGED).select("a", "b", "verdict", "reason", "shared", "jaccard")
+
+    if near.where("verdict = 'accept'").count() >= LOGGED:
+        return first(near)
+    dates = F.array(*[F.lit(w) for w in V.DATE_WORDS])
+    told = f.select("item_id", "time", "roundup", "toks", F.array_except("toks", dates).alias("plain"))
+    for least in (6, 4, 3):
+        far = _far(told.where("not roundup").withColumn("words", F.col("plain")), least)
+        log = stage(first(near.where(f"verdict = 'accept' or verdict = 'reject' and shared >= {least}").unionByName(far)), "log")
+        if log.count() >= LOGGED:
+            return first(log)
+    return first(near.unionByName(_far(told.withColumn("words", F.col("toks")), 2)))
+
+
+def _far(told: DataFrame, least: int) -> DataFrame:
+    """Pairs with a roundup on a side or far apart that share so many words, as ``decide`` gives them."""
+    p = P.token_pairs(told, "item_id", "words", least)
+    p = p.withColumn("reason", F.when(F.col("roundup_a") | F.col("roundup_b"), "multi-story roundup").when(F.abs(F.col("time_a") - F.col("time_b")) > I.FAR_HOURS * 3600, "reports far apart")).where("reason is not null")
+    n = F.size(F.array_intersect("plain_a", "plain_b"))
+    return p.select("a", "b", F.lit("reject").alias("verdict"), "reason", n.cast("bigint").alias("shared"), F.round(n / F.size(F.array_union("toks_a", "toks_b")), 6).alias("jaccard"))
 
 
 def reason_counts(spark, sf_dir):
-    return decided_pairs(spark, sf_dir).groupBy("verdict", "reason").agg(F.count("*").alias("pairs"), F.sum(F.col("support").cast("bigint")).alias("supported"))
+    """How many pairs that share two words have each verdict and reason, and how many of them support a merge."""
+    f = _reports(spark, sf_dir)
+    near = _near(f, lambda d: d.groupby("code").agg(pairs=("code", "size"), supported=("support", "sum")).reset_index(), "code int, pairs long, supported long")
+    near = stage(near.groupBy("code").agg(F.sum("pairs").alias("pairs"), F.sum("supported").alias("supported")), "near_counts")
+    # a pair of two roundups is counted at both, one with a single roundup at both too
+    n = _excluded(f).agg(F.coalesce(F.sum("roundups"), F.lit(0)).alias("roundups"), F.coalesce(F.sum("single"), F.lit(0)).alias("single"))
+    n = stage(n.crossJoin(near.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("near"))), "totals")
+    far = n.select((F.col("single") / 2 - F.col("near")).alias("pairs"))
+    known = near.select(N.verdict(F.col("code")).alias("verdict"), N.reason(F.col("code")).alias("reason"), "pairs", "supported")
+    for counts, why in ((far, "reports far apart"), (n.select((F.col("roundups") / 2).alias("pairs")), "multi-story roundup")):
+        known = known.unionByName(_rejected(counts, why).withColumn("supported", F.lit(0).cast("bigint")))
+    return known
 
 
 def knn_search(spark, sf_dir, floor: float = 0.45):
@@ -99,12 +177,16 @@ def mixed_groups(spark, sf_dir):
 
 
 def cohesive_story_groups(spark, sf_dir):
-    """Cohesive groups inside each component of accepted pairs."""
-    d = stage(decided_pairs(spark, sf_dir).select("a", "b", "verdict", "support", F.col("jaccard").alias("cosine")), "decisions")
+    """Cohesive groups inside each component of accepted pairs; far pairs that share two words are rejected ones."""
+    f = _reports(spark, sf_dir)
+    kind = dict(f.dtypes)["item_id"]
+    d = _near(f, lambda p: p, f"a {kind}, b {kind}, code int, support boolean, n long, union long")
+    d = stage(d.select("a", "b", N.verdict(F.col("code")).alias("verdict"), "support", F.round(F.col("n") / F.col("union"), 6).alias("cosine")), "decisions")
     comp = components(d.where("verdict = 'accept'").select("a", "b"))
-    comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
+    comp = stage(comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct(), "shards")
     a, b = comp.select(F.col("node").alias("a"), F.col("root").alias("shard")), comp.select(F.col("node").alias("b"), F.col("root").alias("other"))
-    return P.cohesive_groups(d.join(a, "a").join(b, "b").where("shard = other").drop("other"), "shard")
+    told = f.select(F.col("item_id").alias("node"), "time", F.col("toks").alias("words")).join(comp.select("node", F.col("root").alias("shard")), "node")
+    return P.cohesive_groups(d.join(a, "a").join(b, "b").where("shard = other").drop("other"), "shard", told, I.FAR_HOURS * 3600)
 
 
 def partition_check(spark, sf_dir):

@@ -49,3 +49,13 @@ def test_rows_without_text_and_no_rows(spark):
     got = Q.document_statistics(docs).collect()
     assert sorted((r.doc_id, r.words) for r in got)[:1] == [(2, 0)] and len(got) == 3 and [r.mean_word for r in got if r.doc_id == 2] == [None]
     assert Q.document_statistics(docs.limit(0)).count() == 0
+
+
+def test_all_documents_are_fitted_on(spark, monkeypatch):
+    """Twice the documents count twice, as the tables do; a language's common words come from all its documents."""
+    monkeypatch.setattr(Q, "FIT_DOCS", 12)
+    rows = [(i, f"della casa parola{chr(97 + i)} fino.\n- uno\n\n12 | 13 | 14\n" * (1 + i % 3), "it") for i in range(12)]
+    once = Q.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    twice = Q.fit(spark.createDataFrame(rows + [(100 + i, t, g) for i, t, g in rows], "doc_id long, text string, lang string"))
+    assert {"della", "casa", "fino", "uno"} <= twice.common == once.common
+    assert np.allclose(once.next, twice.next) and all(np.allclose(v, twice.seen[k]) for k, v in once.seen.items())

@@ -5,10 +5,11 @@ its length, and its share of digits, symbols and separators; the words of a line
 whole sequence, so that a wrapped line of prose is told from a headline by its neighbours. Long lines are cut at sentence
 ends first, as one line may hold records and prose.
 
-The chances start from the tables below, which say what the states mean, and are fitted by Viterbi training on a bounded sample of
-documents (``FIT_DOCS``), each round's counts being taken where the documents are; the tables count as ``PRIOR`` lines, so a corpus
-without tables doesn't make the state drift. Languages without a list of common words get theirs from the same sample: the words
-that ``COMMON`` of its documents have. All statistics cover whole documents, and sequences are decoded many at a time with numpy.
+The chances start from the tables below, which say what the states mean, and are fitted by Viterbi training on all documents, each
+round's counts being taken where the documents are; the tables count as ``PRIOR`` lines for each ``FIT_DOCS`` documents, so a corpus
+without tables doesn't make the state drift. Languages without a list of common words get theirs from all their documents: the words
+that ``COMMON`` of them have. What is seen of the lines is written once, since reading them costs ten times as much as decoding. All
+statistics cover whole documents, and sequences are decoded many at a time with numpy.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wirelake.session import spread, stage, table
 
-#: Documents that the chances are fitted on, about; rounds; lines that the given tables count for.
+#: Documents for which the given tables count once, at least; rounds; lines that they count for.
 FIT_DOCS, ROUNDS, PRIOR = 4000, 2, 100_000
 #: Share of a language's documents that have a common word.
 COMMON = 0.3
@@ -164,24 +165,49 @@ def _states(lines: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
 
 def statistics(texts: list[str | None], model: Model = GIVEN) -> dict[str, np.ndarray]:
     """Words, mean word length, share of lines ending in punctuation, of common words, and of words by state, of each text."""
-    lines, sizes = _lines(texts, model.common)
-    of = np.repeat(np.arange(len(texts)), sizes)
-    words, letters, common, stops = (np.bincount(of, lines[:, i], len(texts)) for i in range(4))
+    return _statistics(*_lines(texts, model.common), model)
+
+
+def _statistics(lines: np.ndarray, sizes: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    count = len(sizes)
+    of = np.repeat(np.arange(count), sizes)
+    words, letters, common, stops = (np.bincount(of, lines[:, i], count) for i in range(4))
     state = _states(lines, sizes, model) if len(lines) else np.zeros(0, np.int64)
-    by = [np.bincount(of, lines[:, 0] * (state == k), len(texts)) for k in range(len(STATES))]
+    by = [np.bincount(of, lines[:, 0] * (state == k), count) for k in range(len(STATES))]
     some, void = np.maximum(words, 1), sizes == 0
     means = {"mean_word": letters / some, "line_end_share": stops / np.maximum(sizes, 1), "common_share": common / some}
     return {"words": words.astype(np.int64)} | {k: np.where(void, np.nan, v) for k, v in means.items()} | {k: b / some for k, b in zip(STATES, by)}
 
 
-def _counts(sample: DataFrame, model: Model) -> Model:
-    """The chances again, from the states that the model gives the sample's lines."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def _parsed(documents: DataFrame, common: frozenset[str]) -> DataFrame:
+    """doc_id, signs, and lines: what is seen of each document's lines, a number after the other."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, n = _lines(b.column("text").to_pylist(), shared.value)
+            each = [x.T.astype(np.int32).tobytes() for x in np.split(lines, np.cumsum(n)[:-1])] if len(n) else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("signs"), pa.array(each, pa.binary())], names=["doc_id", "signs", "lines"])
+
+    signs = F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]+", "")) / F.greatest(F.length("text"), F.lit(1))
+    texts = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", signs.alias("signs"), "text")
+    return texts.mapInArrow(parse, f"doc_id {dict(texts.dtypes)['doc_id']}, signs double, lines binary")
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of many documents and their number, as ``_lines`` gave them."""
+    each = [np.frombuffer(x, np.int32).reshape(8, -1).T for x in column.to_pylist()]
+    return np.concatenate([*each, np.zeros((0, 8), np.int32)]).astype(np.int64), np.array([len(x) for x in each], np.int64)
+
+
+def _counts(parsed: DataFrame, model: Model, prior: float) -> Model:
+    """The chances again, from the states that the model gives the lines."""
+    shared = parsed.sparkSession.sparkContext.broadcast(model)
     sizes = {k: v.size for k, v in _TABLES.items()} | {"first": len(STATES), "next": len(STATES) ** 2}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines, n = _lines(b.column("text").to_pylist(), shared.value.common)
+            lines, n = _read(b.column("lines"))
             if not len(lines):
                 continue
             state = _states(lines, n, shared.value)
@@ -195,18 +221,18 @@ def _counts(sample: DataFrame, model: Model) -> Model:
             flat = np.concatenate(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "n"])
 
-    got = sample.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of rows
+    got = parsed.select("lines").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of rows
     flat = np.zeros(sum(sizes.values()))
     flat[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     cut = np.split(flat, np.cumsum(list(sizes.values()))[:-1])
     parts = dict(zip(sizes, cut))
-    seen = {k: parts[k].reshape(v.shape) + PRIOR / len(STATES) * v / v.sum(0) for k, v in _TABLES.items()}
-    return _model(seen, parts["first"] + PRIOR * np.array(_FIRST), parts["next"].reshape(len(STATES), -1) + PRIOR / len(STATES) * np.array(_NEXT), model.common)
+    seen = {k: parts[k].reshape(v.shape) + prior / len(STATES) * v / v.sum(0) for k, v in _TABLES.items()}
+    return _model(seen, parts["first"] + prior * np.array(_FIRST), parts["next"].reshape(len(STATES), -1) + prior / len(STATES) * np.array(_NEXT), model.common)
 
 
-def common_words(sample: DataFrame) -> frozenset[str]:
-    """Words that ``COMMON`` of the sampled documents of a language without a list have; at most 1 / ``COMMON`` times a text's words."""
-    unlisted = sample.where(F.col("lang").isNotNull() & ~F.substring(F.lower("lang"), 1, 2).isin(list(COMMON_WORDS)))
+def common_words(texts: DataFrame) -> frozenset[str]:
+    """Words that ``COMMON`` of the documents of a language without a list have; at most 1 / ``COMMON`` times a text's words."""
+    unlisted = texts.where(F.col("lang").isNotNull() & ~F.substring(F.lower("lang"), 1, 2).isin(list(COMMON_WORDS)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,16 +244,20 @@ def common_words(sample: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in often.select("word").distinct().collect())
 
 
-def fit(documents: DataFrame) -> Model:
-    """The model of a corpus, from about ``FIT_DOCS`` of its documents."""
+def _fitted(documents: DataFrame) -> tuple[Model, DataFrame]:
     texts = documents.where("text is not null")
     lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
-    every = max(1, texts.count() // FIT_DOCS)
-    sample = stage(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", lang.alias("lang")), "fit")
-    model = GIVEN._replace(common=common_words(sample))
+    model = GIVEN._replace(common=common_words(texts.select("text", lang.alias("lang"))))
+    parsed = stage(_parsed(documents, model.common), "lines")
+    prior = PRIOR * max(1, parsed.count() // FIT_DOCS)
     for _ in range(ROUNDS):
-        model = _counts(sample, model)
-    return model
+        model = _counts(parsed, model, prior)
+    return model, parsed
+
+
+def fit(documents: DataFrame) -> Model:
+    """The model of a corpus, from all its documents."""
+    return _fitted(documents)[0]
 
 
 _MEANS = ("mean_word", "line_end_share", "common_share")
@@ -241,18 +271,17 @@ def document_statistics(documents: DataFrame, model: Model | None = None) -> Dat
     gives words 0, null means and zero shares; a text of signs only has words 0, its shares 0. One row for each row, repeated
     ones too. model: a fitted one; by default it is fitted on the documents themselves.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
+    model, parsed = (model, _parsed(documents, model.common)) if model else _fitted(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = statistics(b.column("text").to_pylist(), shared.value)
+            out = _statistics(*_read(b.column("lines")), shared.value)
             cols = [pa.array(v, from_pandas=True) if k in _MEANS else pa.array(v) for k, v in out.items()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("signs"), *cols], names=["doc_id", "symbol_ratio", *out])
 
-    signs = F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]+", "")) / F.greatest(F.length("text"), F.lit(1))
-    texts = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", signs.alias("signs"), "text")
     kinds = ", ".join(f"{k} double" for k in (*_MEANS, *STATES))
-    return texts.mapInArrow(label, f"doc_id {dict(texts.dtypes)['doc_id']}, symbol_ratio double, words long, {kinds}")
+    return parsed.mapInArrow(label, f"doc_id {dict(parsed.dtypes)['doc_id']}, symbol_ratio double, words long, {kinds}")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

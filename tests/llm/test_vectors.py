@@ -50,3 +50,18 @@ def test_unusable_vectors_ties_and_copies(spark):
     got = sorted((r.vec_key, r["rank"], r.other, r.cosine) for r in vectors.nearest(df, 2).collect())
     assert got == [("a|1", 1, "a|2", 1.0), ("a|1", 2, "a|3", 1.0), ("a|2", 1, "a|1", 1.0), ("a|2", 2, "a|3", 1.0), ("a|3", 1, "a|1", 1.0), ("a|3", 2, "a|2", 1.0), ("a|4", 1, "a|1", 0.0), ("a|4", 2, "a|2", 0.0)]
     assert vectors.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 20, 300, 331, 5000])
+def test_nothing_is_missed_within_a_shard(n):
+    x = made_up(n + 40, 16)[:n]
+    q = made_up(80, 16)
+    got = vectors.most_similar(x, q, 20)
+    best = np.argsort(-(q @ x.T), 1)[:, :20]
+    assert all(set(g[g >= 0]) == set(b) for g, b in zip(got, best))
+
+
+def test_shards_of_one_space_give_all_neighbours(spark):
+    """As many centres as are asked: vectors alone, which graphs missed now and then."""
+    x = np.random.default_rng(6).normal(size=(3000, 48)).astype(np.float32)
+    assert recall(spark, x, shard=400) == 1.0

@@ -1,13 +1,13 @@
-"""The k most similar vectors of every vector (problem 4): a navigable small-world graph per shard, shard results merged.
+"""The k most similar vectors of every vector (problem 4): all products within the shards of near centres, shard results merged.
 
 Equal vectors are folded into one node first, so copies cost nothing. The nodes of a space are divided by coarse centres, fitted on
 a bounded sample (``SAMPLE`` nodes a centre, at most ``CENTRES`` centres a space), and the nodes of one centre by hash into shards
-of about ``SHARD``, so that no shard follows the skew of the data. Every node is indexed. A shard's graph has hierarchical layers,
-each stored as one flat array of neighbour ids, built and searched many nodes at a time with numpy, whatever its size.
+of about ``SHARD``, so that no shard follows the skew of the data. Every node is in a shard. A shard is searched by matrix products of all its
+nodes with many queries at a time, which at this size costs less than searching a graph in numpy and misses nothing.
 
 A node is searched in the shards of its nearest centres only: ``PROBES`` of them, and those nearly as near as the first. Query
 blocks of a centre are spread over tasks and the candidates of all shards are merged. Their cosines are computed again in double
-precision, so the result is exact but for neighbours that the graphs or the routing missed; ``tests/llm/test_vectors.py`` measures
+precision, so the result is exact but for neighbours that the routing missed; ``tests/llm/test_vectors.py`` measures
 recall against brute force and the README gives the figures.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wirelake.session import stage, table
 
-#: Nodes of one graph, about.
+#: Nodes of one shard, about.
 SHARD = 16384
 #: Nodes that search a shard, or are routed, in one task, about.
 QUERY_BLOCK = 16384
@@ -28,155 +28,24 @@ QUERY_BLOCK = 16384
 CENTRES, SAMPLE = 1024, 32
 #: Centres whose shards a node is searched in at least, and how near to it others must be, as a share of the nearest one's cosine.
 PROBES, NEARLY = 8, 0.3
-#: Links of a node above the bottom layer; the bottom layer has twice as many.
-LINKS = 16
-#: Nodes kept open in a search while building, and in the final search.
-BUILD_WIDTH, SEARCH_WIDTH = 64, 96
-
-
-class Graph:
-    """A navigable small-world graph over unit vectors, as flat neighbour arrays; -1 marks an empty place."""
-
-    def __init__(self, vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, seed: int = 7):
-        self.x, self.links = np.ascontiguousarray(vectors, np.float32), links
-        n = len(self.x)
-        draw = np.random.default_rng(seed).random(n)
-        self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(links)).astype(int), 6)
-        self.level[0] = max(self.level.max(), 0)  # the first node is in all layers
-        self.layers = [np.full((n, links * (2 if h == 0 else 1)), -1, np.int32) for h in range(self.level[0] + 1)]
-        self.scores = [np.full(a.shape, -np.inf, np.float32) for a in self.layers]
-        start, step = 1, 64
-        while start < n:
-            self._insert(np.arange(start, min(n, start + step)), width)
-            start += step
-            step = min(512, start)
-
-    @classmethod
-    def stored(cls, vectors: np.ndarray, layers: list[bytes]) -> Graph:
-        """A graph for searching, from its vectors and flat neighbour arrays."""
-        self = cls.__new__(cls)
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.layers = [np.frombuffer(a, np.int32).reshape(len(vectors), -1) for a in layers]
-        return self
-
-    def _insert(self, new: np.ndarray, width: int) -> None:
-        q = self.x[new]
-        entry = np.zeros((len(new), 1), np.int64)
-        for h in range(len(self.layers) - 1, -1, -1):
-            found, score = self._beam(q, entry, h, width)
-            inside = self.level[new] >= h
-            if inside.any():
-                among = new[inside]
-                own = self.x[among] @ self.x[among].T  # nodes of one step may become neighbours too
-                np.fill_diagonal(own, -np.inf)
-                ids = np.concatenate([found[inside], np.broadcast_to(among, own.shape)], 1)
-                self._link(h, among, ids, np.concatenate([score[inside], own], 1))
-            entry = found[:, :8]
-
-    def _link(self, h: int, nodes: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        m = self.links
-        keep, kept_score = self._diverse(ids, score, m)
-        self.layers[h][nodes, :m], self.scores[h][nodes, :m] = keep, kept_score
-        # reverse links: the best of old and new ones stay
-        ok = keep >= 0
-        to, frm, s = keep[ok], np.broadcast_to(nodes[:, None], keep.shape)[ok], kept_score[ok]
-        order = np.lexsort((-s, to))
-        to, frm, s = to[order], frm[order], s[order]
-        first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        count = np.diff(np.append(first, len(to)))
-        rank = np.arange(len(to)) - np.repeat(first, count)
-        cap = self.layers[h].shape[1]
-        take = rank < cap
-        targets = to[first]
-        add = np.full((len(targets), min(cap, int(count.max()))), -1, np.int32)
-        add_score = np.full(add.shape, -np.inf, np.float32)
-        row = np.repeat(np.arange(len(targets)), count)[take]
-        add[row, rank[take]], add_score[row, rank[take]] = frm[take], s[take]
-        both = np.concatenate([self.layers[h][targets], add], 1)
-        both_score = np.concatenate([self.scores[h][targets], add_score], 1)
-        full = (both >= 0).sum(1) > cap
-        if full.any():
-            a, b = self._diverse(both[full], both_score[full], cap)
-            self.layers[h][targets[full]], self.scores[h][targets[full]] = a, b
-        if (~full).any():
-            best = np.argsort(-both_score[~full], 1, kind="stable")[:, :cap]
-            self.layers[h][targets[~full]] = np.take_along_axis(both[~full], best, 1)
-            self.scores[h][targets[~full]] = np.take_along_axis(both_score[~full], best, 1)
-
-    def _diverse(self, ids: np.ndarray, score: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """m neighbours each: the nearest third, then those nearer to the node than to any chosen one, then the nearest left."""
-        top = min(ids.shape[1], 2 * m)
-        best = np.argsort(-score, 1, kind="stable")[:, :top]
-        ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-        if top <= m:
-            pad = ((0, 0), (0, m - top))
-            out, out_score = np.pad(ids, pad, constant_values=-1), np.pad(score, pad, constant_values=-np.inf)
-            return np.where(np.isfinite(out_score), out, -1).astype(np.int32), out_score.astype(np.float32)
-        v = self.x[np.maximum(ids, 0)]
-        near = np.matmul(v, v.transpose(0, 2, 1))
-        chosen = np.zeros(ids.shape, bool)
-        chosen[:, : m // 3] = True
-        for j in range(m // 3, top):
-            blocked = ((near[:, j] > score[:, j : j + 1]) & chosen).any(1)
-            chosen[:, j] = ~blocked
-        order = np.argsort(~chosen, 1, kind="stable")[:, :m]
-        out, out_score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
-        return np.where(np.isfinite(out_score), out, -1).astype(np.int32), out_score.astype(np.float32)
-
-    def _beam(self, q: np.ndarray, entry: np.ndarray, h: int, width: int, spread: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best nodes of a layer for each query, opening ``spread`` of the best unopened ones at a time."""
-        n, rows = len(q), np.arange(len(q))[:, None]
-        seen = np.zeros((n, len(self.x)), bool)
-        ids = np.where(entry >= 0, entry, 0).astype(np.int64)
-        score = np.einsum("nkd,nd->nk", self.x[ids], q)
-        score[entry < 0] = -np.inf
-        seen[rows, ids] = True
-        open_ = np.isfinite(score)
-        live = np.arange(n)
-        neighbours = self.layers[h]
-        out_ids, out_score = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf, np.float32)
-        while len(live):
-            wanted = np.where(open_, score, -np.inf)
-            pick = np.argpartition(-wanted, min(spread, wanted.shape[1]) - 1, 1)[:, :spread]
-            can = np.take_along_axis(open_, pick, 1)
-            np.put_along_axis(open_, pick, False, 1)
-            nxt = neighbours[np.take_along_axis(ids, pick, 1)]
-            nxt[~can] = -1
-            nxt = nxt.reshape(len(live), -1).astype(np.int64)
-            nxt.sort(1)
-            fresh = nxt >= 0
-            fresh[:, 1:] &= nxt[:, 1:] != nxt[:, :-1]
-            at = np.maximum(nxt, 0)
-            fresh &= ~seen[live[:, None], at]
-            r, c = np.nonzero(fresh)
-            seen[live[r], nxt[r, c]] = True
-            s = np.full(nxt.shape, -np.inf, np.float32)
-            s[r, c] = np.einsum("kd,kd->k", self.x[nxt[r, c]], q[live[r]])
-            ids, score = np.concatenate([ids, nxt], 1), np.concatenate([score, s], 1)
-            open_ = np.concatenate([open_, fresh], 1)
-            if ids.shape[1] > width:
-                best = np.argpartition(-score, width - 1, 1)[:, :width]
-                ids, score, open_ = (np.take_along_axis(a, best, 1) for a in (ids, score, open_))
-            going = open_.any(1)
-            if not going.all():
-                done = ~going
-                out_ids[live[done], : ids.shape[1]], out_score[live[done], : ids.shape[1]] = ids[done], score[done]
-                live, ids, score, open_ = live[going], ids[going], score[going], open_[going]
-        order = np.argsort(-out_score, 1, kind="stable")
-        out_ids, out_score = np.take_along_axis(out_ids, order, 1), np.take_along_axis(out_score, order, 1)
-        return np.where(np.isfinite(out_score), out_ids, -1), out_score
-
-    def search(self, q: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of about the k most similar nodes of each query."""
-        q = np.ascontiguousarray(q, np.float32)
-        entry = np.zeros((len(q), 1), np.int64)
-        for h in range(len(self.layers) - 1, 0, -1):
-            entry = self._beam(q, entry, h, 16)[0][:, :8]
-        ids, score = self._beam(q, entry, 0, max(width, k))
-        return ids[:, :k], score[:, :k]
-
-
-def _unit(col: pd.Series) -> np.ndarray:
+
+
+def most_similar(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Ids of the k rows of x with the greatest products with each row of q, in no order; -1 fills up."""
+    n, strip = len(x), 16
+    wide = -(-n // strip)
+    s = np.full((len(q), strip * wide), -np.inf, np.float32)
+    s[:, :n] = q @ x.T
+    if wide <= k:
+        ids = np.argpartition(-s, k - 1, 1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    else:  # the k greatest are in the k columns of the greatest maxima
+        top = np.argpartition(-s.reshape(len(q), strip, wide).max(1), k - 1, 1)[:, :k]
+        among = (top[:, :, None] + wide * np.arange(strip)).reshape(len(q), -1)
+        ids = np.take_along_axis(among, np.argpartition(-np.take_along_axis(s, among, 1), k - 1, 1)[:, :k], 1)
+    return np.where(ids < n, ids, -1)
+
+
+def _unit(col: pd.Series | np.ndarray) -> np.ndarray:
     """Vectors of length 1 in double precision, without overflow."""
     x = np.vstack([np.asarray(v, np.float64) for v in col])
     x /= np.abs(x).max(1, keepdims=True)
@@ -231,7 +100,7 @@ def _routes(nodes: DataFrame, sizes: DataFrame, probes: int, nearly: float) -> D
     return one.unionByName(routed)
 
 
-def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEARCH_WIDTH, probes: int = PROBES, nearly: float = NEARLY) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, probes: int = PROBES, nearly: float = NEARLY) -> DataFrame:
     """(vec_key, other, cosine, rank): the k most similar other vectors of each usable vector, within its space.
 
     vectors: vec_key string (unique), dims int, vec array<float>; other columns are ignored. Cosines are rounded to 9 decimals
@@ -260,22 +129,22 @@ def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEA
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        x = _unit(frame.vec)
+        x = np.vstack(frame.vec).astype(np.float32)
         facts = {c: [frame[c].iloc[0]] for c in ("space", "centre", "part", "blocks")}
-        return pd.DataFrame(facts | {"keys": [frame["keys"].map(list).tolist()], "dims": [x.shape[1]], "vectors": [x.tobytes()], "layers": [[a.tobytes() for a in Graph(x).layers]]})
+        return pd.DataFrame(facts | {"keys": [frame["keys"].map(list).tolist()], "dims": [x.shape[1]], "vectors": [x.tobytes()]})
 
     placed = nodes.join(routes.select("space", "node", "centre"), ["space", "node"]).join(places, by).select("space", "centre", part("parts", 1).alias("part"), "blocks", "node", "keys", "vec")
-    graphs = stage(
-        placed.groupBy("space", "centre", "part").applyInPandas(build, "space string, centre int, part int, blocks int, keys array<array<string>>, dims int, vectors binary, layers array<binary>"),
-        "graphs",
+    shards = stage(
+        placed.groupBy("space", "centre", "part").applyInPandas(build, "space string, centre int, part int, blocks int, keys array<array<string>>, dims int, vectors binary"),
+        "shards",
     )
 
     def search(query: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(stored):
             return pd.DataFrame({"node": [], "cosine": [], "other": []})
         g = stored.iloc[0]
-        x = np.frombuffer(g.vectors).reshape(-1, g.dims)
-        graph = Graph.stored(x, g.layers)
+        x = _unit(np.frombuffer(g.vectors, np.float32).reshape(-1, g.dims))
+        single = x.astype(np.float32)
         held = np.array([len(m) for m in g["keys"]])
         names, place = np.unique(np.concatenate([np.asarray(m, object) for m in g["keys"]]).astype(str), return_inverse=True)
         first = np.cumsum(held) - held
@@ -283,7 +152,7 @@ def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEA
         asking = query.node.to_numpy()
         for at in range(0, len(q), 512):
             b = q[at : at + 512]
-            ids = graph.search(b, wide, max(width, wide))[0]
+            ids = most_similar(single, b.astype(np.float32), wide)
             row, col = np.nonzero(ids >= 0)
             node = ids[row, col]
             exact = np.round(np.einsum("nd,nd->n", x[node], b[row]), 9)
@@ -299,7 +168,7 @@ def nearest(vectors: DataFrame, k: int = 5, shard: int = SHARD, width: int = SEA
 
     asks = nodes.select("space", "node", "vec").join(asked, ["space", "node"]).join(places, by)
     asks = asks.select("space", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("blocks", 2).alias("block"), "node", "vec")
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    served = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     at = ("space", "centre", "part", "block")
     flat = asks.groupBy(*at).cogroup(served.groupBy(*at)).applyInPandas(lambda left, right: search(left, right), "node long, cosine double, other string")
     # merge the shards: k + 1 best of the k + 1 that each gave
